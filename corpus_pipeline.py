@@ -1,16 +1,26 @@
-"""The corpus pipeline: quality, near-dedup, decontamination, mixing, token output."""
+"""The corpus pipeline: documents that pass the quality classifier, one of each group of near copies,
+none that hold benchmark text, repeated to their sources' weights, as token ids.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads
+it again as the next stage's docs. All but the last return the columns of documents. Defined cases
+are those of the operators (see their docstrings): rows that an operator can't judge follow its rule.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bottomk, quality
+from quarry.llm import bottomk, curriculum, positional, quality, token_store
 from quarry.llm.common import new_path
 
 STAGES = [
     ("quality_classifier", quality.stage),
     ("minhash_near_dedup", bottomk.stage),
+    ("benchmark_decontamination", positional.stage),
+    ("source_mixing", curriculum.stage),
+    ("token_output", token_store.stage),
 ]
+#: A learned ranking and a tokenizer can't be written in SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bottomk, quality
+from . import bottomk, curriculum, mixlm, positional, quality, secret_scan, token_store
 
 QUERIES = {
+    "op2_source_mixing": curriculum.query,
     "op3_quality_classifier": quality.query,
+    "op4_benchmark_decontamination": positional.query,
+    "op5_token_orc": token_store.query,
     "op6_minhash_near_dedup": bottomk.query,
+    "op7_secret_scan": secret_scan.query,
+    "op9_lm_scoring": mixlm.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_source_mixing": curriculum.SQL}
