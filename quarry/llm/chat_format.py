@@ -63,7 +63,7 @@ def _common(a: str, b: str) -> int:
 def locate(turns: list[Turn], template: Template) -> list[tuple[int, int, bool, int | None, str]]:
     """For each turn: its span in the rendering of the turns up to it, whether adding it rewrote history, from which place on, and the span's text."""
     out: list[tuple[int, int, bool, int | None, str]] = []
-    before = template([])
+    before, ends = template([]), []  # where each turn ends in what came before; a rewritten one ends where the change begins
     for i in range(len(turns)):
         now = template(turns[: i + 1])
         same = _common(before, now)
@@ -71,8 +71,11 @@ def locate(turns: list[Turn], template: Template) -> list[tuple[int, int, bool,
         end = len(now) - len(old) if now.endswith(old) and len(now) - len(old) >= same else None
         touched = None
         if end is None:
-            touched = next((k for k, s in enumerate(out) if s[1] > same), i)
-        out.append((same, len(now) if end is None else end, end is None, touched, now[same : len(now) if end is None else end]))
+            touched = next((k for k, e in enumerate(ends) if e > same), i)
+            ends = [min(e, same) for e in ends]
+        stop = len(now) if end is None else end
+        ends.append(stop)
+        out.append((same, stop, end is None, touched, now[same:stop]))
         before = now
     return out
 
