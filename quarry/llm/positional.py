@@ -37,7 +37,7 @@ from .common import read_table, small_side, stored, unused
 
 WORD = re.compile(r"\w+")
 WINDOW, NEAR, SLOP, SHORTEST = 13, 11, 2, 5
-SEGMENT = 1_500_000
+SEGMENT = 6_000_000
 #: Empty positions after each document; no match can bridge more than 2 * slop + misses of them.
 GAP = 16
 TEST_CHARS = 8_000_000
