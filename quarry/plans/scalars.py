@@ -24,7 +24,7 @@ scalar("sca12_without_prefix", *P, {"x": ("regexp_replace(p_brand, '^Brand', '')
 scalar("sca13_character_tests", "documents", "doc_id", {"a": ("text rlike '^[0-9]+$'", "regexp_matches(text, '^[0-9]+$')"), "b": (r"text rlike r'^\p{Lu}'", r"regexp_matches(text, '^\p{Lu}')"), "c": ("octet_length(text) = length(text)", "strlen(text) = length(text)")})
 scalar("sca14_parse_int", *P, {"a": (r"try_cast(regexp_extract(split_part(p_brand, '#', 2), r'^\s*(\d+)', 1) as int)", r"TRY_CAST(regexp_extract(split_part(p_brand, '#', 2), '^\s*(\d+)', 1) AS INTEGER)"), "b": ("try_cast(p_brand as int)", "TRY_CAST(p_brand AS INTEGER)")})
 scalar("sca15_pad", *P, {"x": ("case when length(cast(p_partkey as string)) >= 3 then cast(p_partkey as string) else lpad(cast(p_partkey as string), 3, '0') end", "CASE WHEN length(CAST(p_partkey AS VARCHAR)) >= 3 THEN CAST(p_partkey AS VARCHAR) ELSE lpad(CAST(p_partkey AS VARCHAR), 3, '0') END")})
-scalar("sca16_format", "documents", "doc_id", {"a": ("format_number(n_chars * 1000, 0)", "format('{:,}', n_chars * 1000)"), "b": ("printf('%.1f%%', n_chars / 8.0D)", "printf('%.1f%%', CAST(n_chars AS DOUBLE) / 8)")})
+scalar("sca16_format", "documents", "doc_id", {"a": ("format_number(n_chars * 1000, 0)", "format('{:,}', n_chars * 1000)"), "b": ("printf('%.1f%%', n_chars / 7.0D)", "printf('%.1f%%', CAST(n_chars AS DOUBLE) / 7)")})
 scalar("sca17_replace_all", *P, {"x": ("regexp_replace(p_name, '[aeiou]', '-')", "regexp_replace(p_name, '[aeiou]', '-', 'g')")})
 scalar("sca18_match", *P, {"a": ("p_name rlike 'e[a-d]'", "regexp_matches(p_name, 'e[a-d]')"), "b": ("p_name rlike '^[a-z]+ [a-z]+$'", "regexp_full_match(p_name, '[a-z]+ [a-z]+')")})
 scalar("sca19_captures", "pages", "page_id", {"x": ("array_join(regexp_extract_all(url, '[a-z]+', 0), '|')", "array_to_string(regexp_extract_all(url, '[a-z]+'), '|')")})
