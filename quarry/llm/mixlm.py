@@ -61,15 +61,26 @@ def _inside(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each byte's gram among the distinct ones, those, their counts) of data[lo:hi]; a gram is 4 bytes and the byte after them."""
-    x = data[max(0, lo - PAD) : hi].astype(np.uint64)
-    x = np.concatenate([np.zeros(PAD - min(PAD, lo), np.uint64), x])
-    key = x[PAD:].copy()
-    for i in range(1, PAD + 1):
-        key |= x[PAD - i : len(x) - i] << np.uint64(8 * i)
-    codes, distinct = pd.factorize(key)
-    return codes.astype(np.int32), distinct, np.bincount(codes, minlength=len(distinct))
+def grams(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The gram of each byte of data[lo:hi]: the 4 bytes before it and the byte."""
+    some = np.concatenate([np.zeros(PAD - min(PAD, lo), np.uint8), data[max(0, lo - PAD) : hi], np.zeros(8, np.uint8)])
+    window = np.ndarray((hi - lo,), ">u8", some, strides=(1,))  # eight bytes from each place on
+    key = window.astype(np.uint64)
+    key >>= np.uint64(24)
+    return key
+
+
+def coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each gram among the distinct ones, those): grams of 40 bits and their places of 24 are sorted as one number."""
+    both = (key << np.uint64(24)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    at = (both & np.uint64(0xFFFFFF)).astype(np.int64)
+    both >>= np.uint64(24)
+    first = np.ones(len(key), bool)
+    np.not_equal(both[1:], both[:-1], out=first[1:])
+    codes = np.empty(len(key), np.int32)
+    codes[at] = np.cumsum(first, dtype=np.int32) - 1
+    return codes, both[first]
 
 
 def slots(gram: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -105,7 +116,7 @@ def add(table: np.ndarray, gram: np.ndarray, count: np.ndarray, sign: int = 1) -
 
 
 def _add(table: np.ndarray, at: list[np.ndarray], bit: np.ndarray, count: np.ndarray) -> None:
-    each = np.repeat(count.astype(np.int64), 8)
+    each = np.repeat(count.astype(table.dtype), 8)
     for a in at:
         np.add.at(table, (2 * a + bit).ravel(), each)
 
@@ -113,7 +124,7 @@ def _add(table: np.ndarray, at: list[np.ndarray], bit: np.ndarray, count: np.nda
 class Mixer:
     """Gated weights and the adaptive map; both move after each block."""
 
-    GATES, EDGE = 32, 6.0
+    GATES, EDGE, PART = 32, 6.0, 8192
 
     def __init__(self) -> None:
         self.w = np.full((self.GATES, len(BITS)), 0.25)
@@ -121,40 +132,45 @@ class Mixer:
 
     def block(self, table: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Bits of cost of each gram; then learns from the counted grams, and adds them to the table."""
-        at, bit = slots(gram)
-        pairs = table.view(np.complex128)  # zeros and ones of a slot are fetched together
-        inputs, level = [], np.zeros(bit.shape, np.int8)
-        for i, a in enumerate(at):
-            n = pairs.take(a).view(np.int64)
-            zero, one = np.maximum(n[:, 0::2], 0).astype(np.float32), np.maximum(n[:, 1::2], 0).astype(np.float32)
-            if i in (2, 3, 4):
-                level += (zero + one) > 0
-            inputs.append(np.log((one + np.float32(0.4)) / (zero + np.float32(0.4))))
-        gate = level * np.int8(8) + np.arange(8, dtype=np.int8)
-        w = self.w.astype(np.float32)
-        z = w[:, 0].take(gate) * inputs[0]
-        for i in range(1, len(inputs)):
-            z += w[:, i].take(gate) * inputs[i]
-        np.clip(z, -14, 14, out=z)
-        p = 1 / (1 + np.exp(-z))
-        place = np.rint((np.clip(z, -self.EDGE, self.EDGE) + np.float32(self.EDGE)) * 2).astype(np.int64)
-        place += ((gram >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)[:, None] * 25
-        zero, one = (self.seen[..., k].astype(np.float32).ravel().take(place) for k in (0, 1))
-        refined = (one + 40 * p) / (zero + one + 40)
-        right = (p + refined) / 2
-        np.subtract(1, right, out=right, where=bit == 0)
-        cost = -np.log2(np.maximum(right, np.float32(1e-6))).sum(1, dtype=np.float64)
-
-        c = np.repeat(count.astype(np.float32), 8)
-        g, err, var = gate.ravel().astype(np.int64), c * (bit - p).ravel().astype(np.float32), c * (p * (1 - p)).ravel()
-        for i, s in enumerate(inputs):
-            s = s.ravel()
-            up = np.bincount(g, err * s, self.GATES)
-            down = np.bincount(g, var * s * s, self.GATES)
-            self.w[:, i] += up / (down + 50) / len(inputs)
-        flat = (place * 2 + bit).ravel()
-        self.seen += np.bincount(flat, c, self.seen.size).reshape(self.seen.shape)
-        _add(table, at, bit, count)
+        pairs = table.view(np.complex64)  # zeros and ones of a slot are fetched together
+        w, old = self.w.astype(np.float32), [self.seen[..., k].astype(np.float32).ravel() for k in (0, 1)]
+        up, down, adds = np.zeros((len(BITS), self.GATES)), np.zeros((len(BITS), self.GATES)), []
+        cost = np.zeros(len(gram))
+        for lo in range(0, len(gram), self.PART):  # parts fit the cache; what they learn is applied at the end
+            part, c = gram[lo : lo + self.PART], np.repeat(count[lo : lo + self.PART].astype(np.float32), 8)
+            at, bit = slots(part)
+            inputs, level = [], np.zeros(bit.shape, np.int8)
+            for i, a in enumerate(at):
+                n = np.maximum(pairs.take(a).view(np.float32), 0)
+                if i in (2, 3, 4):
+                    level += (n[:, 0::2] + n[:, 1::2]) > 0
+                n += np.float32(0.4)
+                inputs.append(np.log(n[:, 1::2] / n[:, 0::2]))
+            gate = (level * np.int8(8) + np.arange(8, dtype=np.int8)).astype(np.int64)
+            z = w[:, 0].take(gate) * inputs[0]
+            for i in range(1, len(inputs)):
+                z += w[:, i].take(gate) * inputs[i]
+            np.clip(z, -14, 14, out=z)
+            p = 1 / (1 + np.exp(-z))
+            place = np.rint((np.clip(z, -self.EDGE, self.EDGE) + np.float32(self.EDGE)) * 2).astype(np.int64)
+            place += ((part >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)[:, None] * 25
+            zero, one = old[0].take(place), old[1].take(place)
+            refined = (one + 40 * p) / (zero + one + 40)
+            right = (p + refined) / 2
+            np.subtract(1, right, out=right, where=bit == 0)
+            cost[lo : lo + self.PART] = -np.log2(np.maximum(right, np.float32(1e-6))).sum(1, dtype=np.float64)
+
+            g, err, var = gate.ravel(), c * (bit - p).ravel().astype(np.float32), c * (p * (1 - p)).ravel()
+            for i, s in enumerate(inputs):
+                s = s.ravel()
+                up[i] += np.bincount(g, err * s, self.GATES)
+                down[i] += np.bincount(g, var * s * s, self.GATES)
+            adds.append(((place * 2 + bit).ravel().astype(np.int32), [(2 * a + bit).ravel().astype(np.int32) for a in at], c))
+        self.w += (up / (down + 50) / len(BITS)).T
+        for flat, at, c in adds:
+            self.seen += np.bincount(flat, c, self.seen.size).reshape(self.seen.shape)
+            for a in at:
+                np.add.at(table, a.astype(np.int64), c)
         return cost
 
 
@@ -167,25 +183,25 @@ def blocks(size: int) -> list[tuple[int, int]]:
 
 
 def score_shard(texts: list[str | None], total: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, bytes) of each text, in this order. total: counts over the whole corpus, this shard's included."""
+    """(bits, bytes) of each text, in this order. total: counts over the whole corpus, this shard's included (exact in float32 up to 2**24, to 7 digits beyond)."""
     data, begin, end = stream(texts)
-    table = np.zeros(2 * SLOTS, np.int64) if total is None else total.copy()
+    table = np.zeros(2 * SLOTS, np.float32) if total is None else total.astype(np.float32)
     inside = _inside(data, begin)
     work = []
     for lo, hi in blocks(len(data)):
-        codes, gram, _ = grams(data, lo, hi)
+        codes, gram = coded(grams(data, lo, hi))
         count = np.bincount(codes[inside[lo:hi]], minlength=len(gram))
         work.append((lo, hi, codes, gram, count))
     if total is not None and work:
         which, own = pd.factorize(np.concatenate([w[3] for w in work]))
         add(table, own, np.bincount(which, np.concatenate([w[4] for w in work]), len(own)).astype(np.int64), -1)
-    mixer, cost = Mixer(), np.zeros(len(data))
+    mixer, cost = Mixer(), np.zeros(len(data) + 1)
     for lo, hi, codes, gram, count in work:
         cost[lo:hi] = mixer.block(table, gram, count)[codes]
     bits, some = np.zeros(len(texts)), np.flatnonzero(end > begin)
     if len(some):
         edges = np.stack([begin[some], end[some]], 1).ravel()
-        bits[some] = np.add.reduceat(np.append(cost, 0.0), edges)[::2]
+        bits[some] = np.add.reduceat(cost, edges)[::2]
     return bits, end - begin
 
 
@@ -200,8 +216,8 @@ def _count(table: np.ndarray, texts: list[str | None]) -> None:
     inside = _inside(data, begin)
     for lo in range(0, len(data), BLOCK_MOST):
         hi = min(len(data), lo + BLOCK_MOST)
-        codes, gram, _ = grams(data, lo, hi)
-        add(table, gram, np.bincount(codes[inside[lo:hi]], minlength=len(gram)))
+        gram, count = np.unique(grams(data, lo, hi)[inside[lo:hi]], return_counts=True)
+        add(table, gram, count)
 
 
 def _chunks(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
