@@ -36,7 +36,8 @@ RANGE_DIGITS = 3
 
 
 def tokens(text: Column) -> Column:
-    n = F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1
+    dense = F.replace(F.replace(F.replace(text, F.lit(" ")), F.lit("\n")), F.lit("\t"))
+    n = F.length(text) - F.length(dense) + 1
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(n).cast("long")
 
 
@@ -81,7 +82,7 @@ def place(docs: DataFrame, schedule: DataFrame | None = None, budget: float | No
     rows = docs.withColumn(src, F.coalesce("source", F.lit(""))).withColumn(n, tokens(F.col("text"))).where(F.col(n) > 0)
     rows = rows.withColumn(order, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(part, F.substring(order, 1, RANGE_DIGITS))
     if not carry:
-        rows = rows.select("doc_id", src, n, order, part)
+        rows = stored(rows.select("doc_id", src, n, order, part), "placed")
     sums = stored(rows.groupBy(src, part).agg(F.sum(n).alias(total)), "ranges")
     supply = sums.groupBy(F.col(src).alias("source")).agg(F.sum(total).alias("supply"))
     wanted = demand(schedule if schedule is not None else natural_schedule(supply, alpha), supply, budget)

@@ -257,8 +257,8 @@ class Labeller:
                 out[i] = c
         return out
 
-    def fit(self, pages: list[list[Block]], epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Labeller:
-        """Adam on the logistic loss of the blocks with a label."""
+    def fit(self, pages: list[list[Block]], steps: int = 150, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Labeller:
+        """Adam on the logistic loss of the blocks with a label, in whole epochs, for this number of steps at least."""
         pages = [p[:MAX_TRAIN_BLOCKS] for p in pages if {b.label for b in p} >= {0, 1}]
         if not pages:
             return self
@@ -266,7 +266,7 @@ class Labeller:
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
         batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-        for _ in range(epochs):
+        for _ in range(-(-steps // len(batches))):
             for k in rng.permutation(len(batches)):
                 some = [pages[i] for i in batches[k]]
                 f = features(some, words, paths, {i for i in range(len(some)) if rng.random() < 0.5})

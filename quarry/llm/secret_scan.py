@@ -36,7 +36,7 @@ LEAST_SCORE = 0.5
 SCHEMA = "doc_id long, target string, start int, length int, sha256 string, score double, through string"
 
 _NAME = r"[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*"
-_TARGET = re.compile(rf"""(?P<q>["'])(?P<quoted>[\w.$ \-]{{1,80}})(?P=q)\]?\s*(?P<op1>=>|:=|=(?![=~])|:(?![:/]))|(?P<name>{_NAME})(?:\[["'](?P<key>[\w.\-]+)["']\])?\s*(?P<op2>=>|:=|\?=|=(?![=~>])|:(?![:/]))|<(?P<tag>{_NAME})>(?=[^<>\s])""")
+_TARGET = re.compile(rf"""(?P<q>["'])(?P<quoted>[\w.$ \-]{{1,80}})(?P=q)\]?[ \t]*(?P<op1>=>|:=|=(?![=~])|:(?![:/]))|(?P<name>{_NAME})(?:\[["'](?P<key>[\w.\-]+)["']\])?[ \t]*(?P<op2>=>|:=|\?=|=(?![=~>])|:(?![:/]))|<(?P<tag>{_NAME})>(?=[^<>\s])""")
 _STRING = re.compile(r'''[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)''', re.S)
 _NAMED = re.compile(rf"\$\{{(?P<braced>{_NAME})\}}|\$?(?P<plain>{_NAME})(?![\w(\[/@:+=])")
 _BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]+")
