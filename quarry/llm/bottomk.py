@@ -50,7 +50,7 @@ class _Words(dict):
     """Word -> 64-bit hash; emptied now and then, since rare words never end."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -107,7 +107,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             hi.append((whole >> 64) - (1 << 63))
             lo.append((whole & ((1 << 64) - 1)) - (1 << 63))
-            flat.append(s[:K])
+            flat.append(s[:K].copy())  # a view would keep all of s
             sizes.append(min(K, len(s)))
             total.append(len(s))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its rows, counted, take no more than this.
 BROADCAST_BYTES = 16 << 20
+#: Arrow batches that go to Python while a table is stored: long texts must not pile up in a worker.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +39,12 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: later jobs neither recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(ARROW_BYTES))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
