@@ -42,7 +42,8 @@ from .common import forget, read_table, small_side, stored, unused
 
 WORD = re.compile(r"\w+")
 SHINGLE, K = 3, 64
-THRESHOLD, SLACK = 0.7, 0.2
+#: The near copies of the given tables lie above 0.5 and unrelated texts far below. SLACK is four deviations of the estimate there.
+THRESHOLD, SLACK = 0.5, 0.25
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 

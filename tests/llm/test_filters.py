@@ -129,6 +129,18 @@ def test_near_groups_equal_brute_force(spark, seed):
     assert got == brute_groups(rows)
 
 
+def test_copies_with_a_tenth_of_the_words_changed_are_found(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 400)) for i in range(40)]
+    for i, text in rows[:40]:
+        w = text.split()
+        for k in rng.sample(range(len(w)), (20, 28, 34, 40)[i % 4]):
+            w[k] = "changed" + w[k]
+        rows.append((100 + i, " ".join(w)))
+    got = {(r.id, r.root) for r in bottomk.groups(docs_of(spark, rows)).collect()}
+    assert got == {(i, i) for i in range(40)} | {(100 + i, i) for i in range(40)}
+
+
 def test_many_copies_of_a_copy(spark):
     rng = random.Random(4)
     base = prose(rng, 200)
