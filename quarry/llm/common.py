@@ -63,6 +63,18 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """The rows of a folder as its files hold them, one partition a file, in the order of their names; the reader alone packs files by size. df must be the folder as read; tables without files stay as they are."""
+    names = sorted({f.rsplit("/", 1)[-1] for f in df.inputFiles()})
+    if not names:
+        return df
+    at, block, row = unused(df, "file_number", "file_block", "row_read")
+    meta = df.metadataColumn("_metadata")
+    number = F.array_position(F.array(*map(F.lit, names)), meta["file_name"]) - 1
+    rows = df.withColumns({at: number.cast("int"), block: meta["file_block_start"], row: F.monotonically_increasing_id()})
+    return rows.repartitionById(len(names), F.col(at)).sortWithinPartitions(block, row).drop(at, block, row)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that clash with no column of df, whatever the case of the letters."""
     taken = {c.lower() for c in df.columns}

@@ -1,8 +1,9 @@
 """Token-ID output as ORC: integer run-length encoding, row indexes, Bloom filters on document ids.
 
 Texts are tokenised whole with a public byte-level vocabulary (its path is a parameter; ids are
-decoded back to the exact text). Rows are sorted by doc_id within each file, so that stripes and row
-groups have narrow id ranges; ids and counts are integer columns, which ORC run-length encodes. A
+decoded back to the exact text). The query's rows are sorted by doc_id within each file, so that stripes
+and row groups have narrow id ranges; the pipeline's stage keeps the order it is given, which is the
+training order. Ids and counts are integer columns, which ORC run-length encodes. A
 reader takes stripes in parallel, and skips those that the footers' minima and maxima or the Bloom
 filters rule out (see read_ids and stripes).
 
@@ -25,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read_table
+from .common import in_file_order, new_path, read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is cut before the merges of that vocabulary apply.
@@ -78,10 +79,10 @@ def tokenise(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_encoder(path), SCHEMA)
 
 
-def write(docs: DataFrame, out: str, path: str = VOCABULARY) -> str:
-    """Tokenise docs into an ORC table at out; no shuffle, sorted within each file."""
-    sorted_ids = docs.select("doc_id", "text").sortWithinPartitions("doc_id")
-    tokenise(sorted_ids, path).write.options(**ORC).orc(out)
+def write(docs: DataFrame, out: str, path: str = VOCABULARY, by_id: bool = True) -> str:
+    """Tokenise docs into an ORC table at out; no shuffle. Sorted within each file, or in the order of docs."""
+    rows = docs.select("doc_id", "text")
+    tokenise(rows.sortWithinPartitions("doc_id") if by_id else rows, path).write.options(**ORC).orc(out)
     return out
 
 
@@ -117,4 +118,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return read(spark, write(docs, new_path(spark, "tokens")))
+    return in_file_order(read(spark, write(in_file_order(docs), new_path(spark, "tokens"), by_id=False)))

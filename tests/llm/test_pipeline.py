@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -57,6 +58,21 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert got == +want and sum(want.values()) > len(want)
 
 
+def test_files_are_in_training_order(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, prose(rng, rng.choice([5, 40, 900])), "en", "aaab"[i % 4], 0) for i in range(200)], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    files = sorted(f.removeprefix("file://") for f in corpus_pipeline.run(spark, str(tmp_path)).inputFiles())
+    got = [i for f in files for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+    position = {(r.doc_id, r.copy): r.position for r in curriculum.query(spark, str(tmp_path)).collect()}
+    seen, order = Counter(), []
+    for i in got:
+        order.append(position.pop((i, seen[i])))
+        seen[i] += 1
+    assert not position and order == sorted(order) and len(files) > 1
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, con, name):
     assert differences(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLE[name], con) is None
