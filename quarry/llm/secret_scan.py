@@ -4,7 +4,8 @@ A text is lexed for assignments in source and configuration syntax - name = "lit
 'literal', NAME=value, name: value, name := "...", name => "...", <name>literal</name>, --name=value -
 into name-literal pairs. The right side may join literals and names with +, . or white space; names
 that were assigned a constant before are replaced by it, so a secret is found where its value is
-written and where a sensitive name takes it over. A literal is then scored by what its target's name
+written and where a sensitive name takes it over. Unquoted values and tags are constants too, and $X and
+${X} are expanded in them and in strings other than single-quoted ones. A literal is then scored by what its target's name
 says (password, token, api key ...) and by what the literal looks like.
 
 The value itself is not stored: only its place, length and SHA-256.
@@ -33,13 +34,16 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 LEAST_SCORE = 0.5
+#: References that would grow a literal by more characters than this stay as they are, since doubling ones (a=$a$a) have no end.
+MOST_EXPANDED = 1 << 16
 SCHEMA = "doc_id long, target string, start int, length int, sha256 string, score double, through string"
 
 _NAME = r"[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*"
 _TARGET = re.compile(rf"""(?P<q>["'])(?P<quoted>[\w.$ \-]{{1,80}})(?P=q)\]?[ \t]*(?P<op1>=>|:=|=(?![=~])|:(?![:/]))|(?P<name>{_NAME})(?:\[["'](?P<key>[\w.\-]+)["']\])?[ \t]*(?P<op2>=>|:=|\?=|=(?![=~>])|:(?![:/]))|<(?P<tag>{_NAME})>(?=[^<>\s])""")
 _STRING = re.compile(r'''[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)''', re.S)
 _NAMED = re.compile(rf"\$\{{(?P<braced>{_NAME})\}}|\$?(?P<plain>{_NAME})(?![\w(\[/@:+=])")
-_BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]+")
+_REF = re.compile(rf"\$(?:\{{(?P<braced>{_NAME})\}}|(?P<plain>[A-Za-z_]\w*))")
+_BARE = re.compile(rf"(?:\$\{{{_NAME}\}}|[^\s\"'`,;<>(){{}}\[\]])+")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?(?=\s*[\"'`$A-Za-z_])|&|\|\|)?[ \t]*\\?\n?[ \t]*")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -61,6 +65,7 @@ class Pair:
     end: int
     through: tuple[str, ...] = ()
     quoted: bool = True
+    setting: bool = False  # unquoted, in the syntax of a setting: NAME=value, or alone on its line
 
 
 def _string(m: re.Match) -> tuple[str, int, int]:
@@ -68,6 +73,27 @@ def _string(m: re.Match) -> tuple[str, int, int]:
     return m[k], m.start(k), m.end(k)
 
 
+def _expanded(p: Pair, constants: dict[str, Pair]) -> Pair:
+    """p with the constants that it refers to as $X or ${X} put in; placed at its longest part."""
+    used = [m for m in _REF.finditer(p.literal) if (m["braced"] or m["plain"]) in constants]
+    if not used or sum(len(constants[m["braced"] or m["plain"]].literal) for m in used) > MOST_EXPANDED:
+        return p
+    of = [constants[m["braced"] or m["plain"]] for m in used]
+    longest = max(of, key=lambda c: len(c.literal))
+    value = _REF.sub(lambda m: constants[n].literal if (n := m["braced"] or m["plain"]) in constants else m[0], p.literal)
+    own = len(p.literal) - sum(len(m[0]) for m in used)
+    start, end = (p.start, p.end) if own > len(longest.literal) else (longest.start, longest.end)
+    through = tuple(dict.fromkeys(t for m, c in zip(used, of) for t in (*c.through, m["braced"] or m["plain"])))
+    return Pair(p.target, value, start, end, through, p.quoted, p.setting)
+
+
+def _setting(text: str, m: re.Match, start: int, end: int) -> bool:
+    if text[end : end + 1] not in ("", " ", "\t", "\r", "\n", ";", "<"):
+        return False
+    alone = not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip(" \t-") and not re.match(r"[ \t]*[^\s#;]", text[end : end + 80].split("\n")[0])
+    return alone or (m["op2"] in ("=", "?=") and m.end() == start and text[m.end() - 2 : m.end() - 1] not in (" ", "\t"))
+
+
 def lex(text: str) -> Iterator[Pair]:
     """The name-literal pairs of a text, in order; a joined right side gives one pair, placed at its longest part."""
     constants: dict[str, Pair] = {}
@@ -81,6 +107,7 @@ def lex(text: str) -> Iterator[Pair]:
                 continue
             pair = Pair(m["tag"], text[at:end].strip(), at, end)
             at = end + len(close)
+            pair = constants[pair.target] = _expanded(pair, constants)
             yield pair
             continue
         target = m["quoted"] or m["key"] or m["name"]
@@ -91,12 +118,13 @@ def lex(text: str) -> Iterator[Pair]:
         while True:
             if s := _STRING.match(text, at):
                 value, lo, hi = _string(s)
-                parts.append(Pair(target, value, lo, hi))
-            elif (s := _NAMED.match(text, at)) and (name := s["braced"] or s["plain"]) in constants:
+                part = Pair(target, value, lo, hi)
+                parts.append(part if s["b"] is not None or s["d"] is not None else _expanded(part, constants))
+            elif (s := _NAMED.match(text, at)) and (name := s["braced"] or s["plain"]) in constants and (constants[name].quoted or s[0].startswith("$")):
                 c = constants[name]
                 parts.append(Pair(target, c.literal, c.start, c.end, (*c.through, name)))
-            elif not parts and (s := _BARE.match(text, at)) and (op in ("=", "?=", ":") and not s[0].startswith(("$", "@", "%", "&"))):
-                parts.append(Pair(target, s[0], at, s.end(), quoted=False))
+            elif not parts and (s := _BARE.match(text, at)) and (op in ("=", "?=", ":") and (not s[0].startswith(("$", "@", "%", "&")) or (v := _REF.match(s[0])) and (v["braced"] or v["plain"]) in constants)):
+                parts.append(_expanded(Pair(target, s[0], at, s.end(), quoted=False, setting=_setting(text, m, at, s.end())), constants))
                 at = s.end()
                 break
             else:
@@ -112,9 +140,8 @@ def lex(text: str) -> Iterator[Pair]:
         if not parts:
             continue
         longest = max(parts, key=lambda p: len(p.literal))
-        pair = Pair(target, "".join(p.literal for p in parts), longest.start, longest.end, tuple(dict.fromkeys(t for p in parts for t in p.through)), parts[0].quoted)
-        if pair.quoted:
-            constants[target] = pair
+        pair = Pair(target, "".join(p.literal for p in parts), longest.start, longest.end, tuple(dict.fromkeys(t for p in parts for t in p.through)), parts[0].quoted, parts[0].setting)
+        constants[target] = pair
         yield pair
 
 
@@ -149,7 +176,8 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, float, str]]:
             value, start, end, name = u["pass"], p.start + u.start("pass"), p.start + u.end("pass"), max(name, 0.9)
         looks = literal_score(value)
         if not p.quoted and looks < 1.0:
-            looks *= 0.8 if re.search("[0-9]", value) else 0.3
+            names = re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)+", value) or name_score(value)  # another variable's name
+            looks *= 0.8 if re.search("[0-9]", value) or p.setting and not names else 0.3
         score = 1.0 if looks == 1.0 and _KNOWN.search(value) else name * looks
         if score >= LEAST_SCORE:
             found.append((p.target, start, end - start, hashlib.sha256(value.encode("utf-8", "replace")).hexdigest(), round(score, 4), ">".join(p.through)))

@@ -179,6 +179,16 @@ def test_constants_are_propagated():
     assert set(got[5].split(">")) == {"BASE", "REST", "FULL"}
 
 
+@pytest.mark.parametrize("text", ["BASE=9f8e7d6c5b4a392817\nPASSWORD=$BASE", 'BASE=9f8e7d6c5b4a392817\nPASSWORD="${BASE}"', "<base>9f8e7d6c5b4a392817</base>\n<password>${base}</password>"])
+def test_secrets_through_unquoted_constants(text):
+    (got,) = [f for f in secret_scan.scan(text) if f[0].lower() == "password"]
+    assert text[got[1] : got[1] + got[2]] == "9f8e7d6c5b4a392817" and got[5].lower() == "base"
+
+
+def test_unquoted_secrets_without_digits():
+    assert [len(secret_scan.scan(t)) for t in ("password=SwordfishBay", "password: correcthorsebattery", "password = user.credential", "f(password=settings, x=1)")] == [1, 1, 0, 0]
+
+
 def test_secrets_defined_cases(spark):
     secret = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
     rows = [(1, secret), (1, secret), (2, None), (3, ""), (None, secret), (4, secret + " " + secret), (5, "word " * 200_000 + secret), (6, "a = b = c == = :: <x>"), (7, "\"'" * 1000 + secret)]
