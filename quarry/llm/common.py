@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,10 @@ BROADCAST_BYTES = 16 << 20
 #: Arrow batches that go to Python while a table is stored: long texts must not pile up in a worker.
 ARROW_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_lock, _users = threading.Lock(), {}
+#: Characters of a text that are cut into words at a time.
+PART_CHARS = 1 << 20
+_NO_WORD = re.compile(r"\W")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +28,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. A temporary one is set only where none is (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. A temporary one is set only where none is, and only if there is one machine (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")
@@ -35,21 +45,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ARROW_BYTES to Python meanwhile. It is a setting of the session: other queries may see it, which changes their memory and no result; the last of concurrent users sets it back."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _users.get(key, (0, None))
+        _users[key] = (n + 1, before if n else spark.conf.get(_BATCH))
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _users.pop(key)
+            if n > 1:
+                _users[key] = (n - 1, before)
+            else:
+                spark.conf.set(_BATCH, before)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: later jobs neither recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(ARROW_BYTES))
-    try:
+    with small_batches(spark):
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about PART_CHARS characters that cut no word, so that the words of a very long text need not all be in memory."""
+    at = 0
+    while len(text) - at > PART_CHARS:
+        m = _NO_WORD.search(text, at + PART_CHARS)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield text[at:] if at else text
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote and that no plan will read any more."""
     for df in tables:

@@ -172,22 +172,23 @@ def test_components_of_a_chain(spark):
 # -- decontamination
 
 
-def brute_matches(docs, tests, window=13, near=11, slop=2, shortest=5):
+def brute_matches(docs, tests, window=13, near=11, slop=2):
     found = {}
     tok = lambda s: re.findall(r"\w+", (s or "").lower())
     for d, text in docs:
         w = tok(text)
         for item, t in set(tests):
             q = tok(t)
-            if item is None or len(q) < shortest or not w:
+            if item is None or not q or not w:
                 continue
             n = min(window, len(q))
+            free = n * (window - near) // window
             for j in range(len(q) - n + 1):
                 part = q[j : j + n]
                 exact = any(w[s : s + n] == part for s in range(len(w) - n + 1))
                 close = exact
-                if n == window and not close:
-                    close = any(sum(any(0 <= p < len(w) and w[p] == x for p in range(s + k - slop, s + k + slop + 1)) for k, x in enumerate(part)) >= near for s in range(-slop - 2, len(w)))
+                if free and not close:
+                    close = any(sum(any(0 <= p < len(w) and w[p] == x for p in range(s + k - slop, s + k + slop + 1)) for k, x in enumerate(part)) >= n - free for s in range(-slop - 2, len(w)))
                 if exact or close:
                     f = found.setdefault((d, item), [0, 0])
                     f[0] += exact
@@ -197,7 +198,7 @@ def brute_matches(docs, tests, window=13, near=11, slop=2, shortest=5):
 
 def test_matches_equal_brute_force(spark):
     rng = random.Random(6)
-    tests = [(i, prose(rng, rng.choice([3, 6, 13, 25, 40]))) for i in range(12)] + [(3, None), (None, prose(rng, 20)), (20, "")]
+    tests = [(i, prose(rng, rng.choice([1, 3, 6, 7, 10, 13, 25, 40]))) for i in range(16)] + [(3, None), (None, prose(rng, 20)), (20, "")]
     docs = [(i, prose(rng, rng.randint(5, 200))) for i in range(60)]
     for i in range(60, 100):
         t = rng.choice([t for _, t in tests if t])
@@ -213,12 +214,35 @@ def test_matches_equal_brute_force(spark):
         docs.append((i, rng.choice(["", prose(rng, 30) + ". "]) + t + rng.choice(["", "! " + prose(rng, 20)])))
     d, b = docs_of(spark, docs), spark.createDataFrame(tests, "item_id long, text string")
     want = brute_matches(docs, tests)
-    for options in ({}, {"segment": 400}, {"test_chars": 300}):
+    for options in ({}, {"segment": 400}, {"test_chars": 300}, {"piece": 40}):
         got = {(r.doc_id, r.item_id, r.phrase_windows, r.near_windows) for r in positional.matches(d, b, **options).collect()}
         assert got == want
     assert len(want) > 20
 
 
+def test_a_document_in_pieces_counts_as_one(spark):
+    rng = random.Random(16)
+    items = [(i, prose(rng, 30)) for i in range(6)]
+    w = prose(rng, 500).split()
+    for k, (_, t) in zip((0, 83, 188, 275, 360, 480), items):
+        w[k : k + 30] = t.split()
+    docs = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join(w[:100])), (3, " ".join(w + w))]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, positional.matches(docs_of(spark, docs), tests).collect()))
+    got = sorted(map(tuple, positional.matches(docs_of(spark, docs), tests, piece=90).collect()))
+    assert got == want and len(got) == 6 * 3 + 2
+
+
+def test_parts_of_a_text_cut_no_word(monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "PART_CHARS", 10)
+    text = "one twothreefourfive six, seven" + " x" * 30 + "y" * 40
+    assert "".join(common.parts_of(text)) == text
+    assert [w for p in common.parts_of(text) for w in re.findall(r"\w+", p)] == re.findall(r"\w+", text)
+    assert list(common.parts_of("")) == []
+
+
 def test_first_token(spark):
     item = "alpha beta gamma delta epsilon zeta eta"
     docs = docs_of(spark, [(1, item + " tail"), (2, "one two " + item)])
