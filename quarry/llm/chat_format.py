@@ -2,20 +2,32 @@
 
 A template is any callable that takes the turns so far, a list of {"role", "text"}, and returns a
 string. Nothing is known of its inside: the prefixes of a conversation (none, one turn, two ...) are
-rendered one after another, and each output is compared with the one before. What follows the common
-beginning, less an old ending that stays the ending (a trailer), is the new turn's span. If the old
-output's rest doesn't survive in this way, the template rewrites history; the earliest turn whose
-span is touched is named.
+rendered one after another, and each output is compared with the one before.
+
+An ending that stays behind whatever is added (a closing tag, a prompt for the next answer) is learned
+first: it is the longest ending that all the outputs share, the one for no turns included. Without it,
+what an output adds to the one before is the new turn's span. If the old output isn't the beginning of
+the new one, the template rewrites history; the earliest turn whose span is touched is named.
+
+The comparison can't always tell where the trailer begins: if it and the turns begin alike, a cut some
+characters later fits all outputs as well. The longest trailer is taken, which keeps a turn's own
+opening with the turn, and `ambiguous` says that another cut would fit. Where the template can't
+render no turns at all, the shortest trailer that keeps history is taken instead, since the longest would
+take the turns' common ending.
 
 Defined cases
 * null role or text: rendered as ''. Null turn: comes last. Null conv_id: belongs to no conversation, left out.
 * repeated rows: each is a turn; the order is by turn, role, text.
-* empty text: a turn like others. Very long texts: whole. Empty table: no rows. Extra columns: ignored.
+* a template that raises for a prefix, or returns no string: that turn has no span, and `error` says why; the next
+  turn that renders is compared with the last output, so its span holds both turns, marked ambiguous.
+* empty text: a turn like others. Very long texts: whole; two outputs are held at a time. Empty table: no rows.
+* extra columns: ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +37,7 @@ from .common import read_table
 
 Turn = dict[str, str]
 Template = Callable[[list[Turn]], str]
-SCHEMA = "template string, conv_id long, place int, turn long, role string, span_start int, span_end int, rewrites boolean, rewritten_from int, piece string"
+SCHEMA = "template string, conv_id long, place int, turn long, role string, span_start int, span_end int, rewrites boolean, rewritten_from int, piece string, ambiguous boolean, error string"
 
 
 def chatml(turns: list[Turn]) -> str:
@@ -43,7 +55,12 @@ def latest_answer(turns: list[Turn]) -> str:
     return "".join(f"<{t['role']}>{t['text'] if i == last or t['role'] != 'assistant' else '...'}\n" for i, t in enumerate(turns))
 
 
-TEMPLATES: dict[str, Template] = {"chatml": chatml, "enclosed": enclosed, "latest_answer": latest_answer}
+def prompted(turns: list[Turn]) -> str:
+    """Asks for the next answer at the end: a trailer that begins as the turns do."""
+    return chatml(turns) + "<|im_start|>assistant\n"
+
+
+TEMPLATES: dict[str, Template] = {"chatml": chatml, "enclosed": enclosed, "latest_answer": latest_answer, "prompted": prompted}
 
 
 def _common(a: str, b: str) -> int:
@@ -60,28 +77,83 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def locate(turns: list[Turn], template: Template) -> list[tuple[int, int, bool, int | None, str]]:
-    """For each turn: its span in the rendering of the turns up to it, whether adding it rewrote history, from which place on, and the span's text."""
-    out: list[tuple[int, int, bool, int | None, str]] = []
-    before, ends = template([]), []  # where each turn ends in what came before; a rewritten one ends where the change begins
+def _ending(a: str, b: str) -> int:
+    """Length of the common ending."""
+    return _common(a[::-1], b[::-1])
+
+
+def _rendered(template: Template, turns: list[Turn]) -> tuple[str | None, str | None]:
+    """(output, error)."""
+    try:
+        out = template(turns)
+    except Exception as e:  # the template is foreign code
+        return None, f"{type(e).__name__}: {e}"
+    return (out, None) if isinstance(out, str) else (None, f"returned {type(out).__name__}")
+
+
+def _trailer(turns: list[Turn], template: Template) -> tuple[int, bool]:
+    """(length of the trailer, would another one fit?)."""
+    none, _ = _rendered(template, [])
+    if none == "" or (none is None and len(turns) < 2):
+        return 0, False
+    last, ending, least = none, none, 0
     for i in range(len(turns)):
-        now = template(turns[: i + 1])
+        now, _ = _rendered(template, turns[: i + 1])
+        if now is None:
+            continue
+        if last is not None:
+            ending = now if ending is None else ending
+            ending = ending[len(ending) - _ending(ending, now) :]
+            kept = _common(last, now)
+            if len(last) - kept <= len(ending):  # else it rewrites history, which says nothing of a trailer
+                least = max(least, len(last) - kept)
+        else:
+            ending = now
+        last = now
+    most = len(ending or "")
+    least = min(least, most)
+    return (most if none is not None else least), least < most
+
+
+class Span(NamedTuple):
+    """A turn's place in the rendering of the turns up to it; rewrites: adding it changed what stood there, from the turn at place rewritten_from on."""
+
+    start: int | None
+    end: int | None
+    rewrites: bool | None
+    rewritten_from: int | None
+    piece: str | None
+    ambiguous: bool
+    error: str | None
+
+
+def locate(turns: list[Turn], template: Template) -> list[Span]:
+    """The span of each turn."""
+    trailer, ambiguous = _trailer(turns, template)
+    out: list[Span] = []
+    before, _ = _rendered(template, [])
+    before, ends = "" if before is None else before[: len(before) - trailer], []  # where each turn ends in what came before; a rewritten one ends where the change begins
+    skipped = False
+    for i in range(len(turns)):
+        now, error = _rendered(template, turns[: i + 1])
+        if now is None:
+            out.append(Span(None, None, None, None, None, ambiguous, error))
+            skipped = True
+            continue
+        now = now[: len(now) - trailer]
         same = _common(before, now)
-        old = before[same:]
-        end = len(now) - len(old) if now.endswith(old) and len(now) - len(old) >= same else None
-        touched = None
-        if end is None:
+        rewrites, touched = same < len(before), None
+        if rewrites:
             touched = next((k for k, e in enumerate(ends) if e > same), i)
             ends = [min(e, same) for e in ends]
-        stop = len(now) if end is None else end
-        ends.append(stop)
-        out.append((same, stop, end is None, touched, now[same:stop]))
-        before = now
+        ends += [len(now)] * (i + 1 - len(ends))
+        out.append(Span(same, len(now), rewrites, touched, now[same:], ambiguous or skipped, None))
+        before, skipped = now, False
     return out
 
 
 def _renderer(templates: dict[str, Template]):
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +203,9 @@ u AS (
   UNION ALL
   SELECT 'enclosed', conv_id, place, turn, role, 3 + b0, 3 + b0 + length(b), false, NULL, b FROM t
   UNION ALL
+  SELECT 'prompted', conv_id, place, turn, role, a0, a0 + length(a), false, NULL, a FROM t
+  UNION ALL
   SELECT 'latest_answer', conv_id, place, turn, role, CASE WHEN again THEN d0 - 4 ELSE d0 END, d0 + length(d), again,
          CASE WHEN again THEN place - 1 END, CASE WHEN again THEN '...' || chr(10) ELSE '' END || d FROM t)
 SELECT template, conv_id, CAST(place AS INTEGER) AS place, turn, role, CAST(x AS INTEGER) AS span_start, CAST(y AS INTEGER) AS span_end, rewrites,
-       CAST(f AS INTEGER) AS rewritten_from, piece FROM u"""
+       CAST(f AS INTEGER) AS rewritten_from, piece, template = 'prompted' AS ambiguous, CAST(NULL AS VARCHAR) AS error FROM u"""

@@ -201,27 +201,44 @@ def test_secrets_defined_cases(spark):
 # -- chat
 
 
-def brute_spans(turns, template):
-    outs = [template(turns[:i]) for i in range(len(turns) + 1)]
-    rows = []
-    for a, b in zip(outs, outs[1:]):
-        same = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-        old = a[same:]
-        kept = b.endswith(old) and len(b) - len(old) >= same
-        rows.append((same, len(b) - len(old) if kept else len(b), not kept))
-    return rows
-
-
 def counted(turns):
     return f"[{len(turns)}]" + "".join(t["text"] for t in turns)
 
 
-@pytest.mark.parametrize("template", [*chat_format.TEMPLATES.values(), counted])
-def test_spans_equal_brute_force(template):
+@pytest.mark.parametrize("head,turn,trailer", [("", "<|im_start|>{role}\n{text}<|im_end|>\n", "<|im_start|>assistant\n"), ("", "{text}", "</s>"), ("<s>", "[{role}] {text}\n", "</s>"), ("<<SYS>>\n", "<{role}>{text}</{role}>.", "<assistant>"), ("", "<|im_start|>{role}\n{text}<|im_end|>\n", ""), ("# ", "a{text}b", "ab!")])
+def test_spans_are_those_of_the_template(head, turn, trailer):
     rng = random.Random(9)
+    template = lambda turns: head + "".join(turn.format(**t) for t in turns) + trailer
     for _ in range(200):
-        turns = [{"role": rng.choice(["user", "assistant", "system"]), "text": "".join(rng.choice("ab.<") for _ in range(rng.randint(0, 6)))} for _ in range(rng.randint(0, 7))]
-        assert [s[:3] for s in chat_format.locate(turns, template)] == brute_spans(turns, template)
+        turns = [{"role": rng.choice(["user", "assistant", "system"]), "text": "".join(rng.choice("ab.</s>") for _ in range(rng.randint(1, 6)))} for _ in range(rng.randint(0, 7))]
+        at, want = len(head), []
+        for t in turns:
+            piece = turn.format(**t)
+            want.append((at, at + len(piece), False, None, piece))
+            at += len(piece)
+        assert [s[:5] for s in chat_format.locate(turns, template)] == want
+
+
+def test_a_cut_that_could_be_elsewhere_is_reported():
+    turns = [{"role": "user", "text": "u>a"}, {"role": "user", "text": "b>c"}]
+    got = chat_format.locate(turns, lambda t: "".join(f"<{x['text']}" for x in t) + "</s>")
+    assert [(s.piece, s.ambiguous) for s in got] == [("<u>a", True), ("<b>c", True)]
+    assert not any(s.ambiguous for s in chat_format.locate(turns, chat_format.enclosed) + chat_format.locate(turns, chat_format.chatml))
+    assert all(s.ambiguous for s in chat_format.locate(turns, chat_format.prompted))
+
+
+def test_templates_that_raise(spark):
+    def strict(turns):
+        if not turns or turns[-1]["role"] == "system":
+            raise ValueError("no user")
+        return "".join(f"{t['role']}: {t['text']}\n" for t in turns) if turns[-1]["text"] != "odd" else None
+
+    turns = [{"role": r, "text": t} for r, t in [("system", "be"), ("user", "hi"), ("assistant", "odd"), ("user", "x")]]
+    got = chat_format.locate(turns, strict)
+    assert [(s.start, s.end, s.ambiguous, s.error) for s in got] == [(None, None, True, "ValueError: no user"), (0, 20, True, None), (None, None, True, "returned NoneType"), (20, 43, True, None)]
+    df = spark.createDataFrame([(1, i, t["role"], t["text"]) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert [r.error for r in chat_format.format_chats(df, {"strict": strict}).orderBy("place").collect()] == [s.error for s in got]
+    assert all(s.error for s in chat_format.locate(turns, lambda t: 1 / 0))
 
 
 def test_rewritten_turns_are_named():
