@@ -5,23 +5,28 @@ function orders the shingles; the K smallest hashes are its sketch. Inverted lis
 values give pairs that overlap, the sketch of the union estimates their Jaccard similarity, and the
 shingle sets themselves verify it. Verified pairs are joined to groups; one document of each stays.
 
-Candidates are complete for the estimate: two sketches that agree in enough values to reach
-THRESHOLD - SLACK share a value among the (size - needed + 1) rarest of each, so only those are
-listed (a prefix filter with values ordered by frequency). Passages that many documents share are
-frequent, hence at the end of that order, and hardly ever listed.
+Candidates are complete for the estimate: a sketch must share need(n) values at least with that of any
+partner whose similarity reaches THRESHOLD, so two such sketches share one of the (size - need + 1)
+rarest values of each, and only those are listed (a prefix filter with values ordered by frequency).
+need() allows SIGMAS deviations of the estimate. It is drawn without replacement from the union, so the
+deviation falls with the union's size, and is 0 for a union of at most K shingles: the sketches of
+short documents are their sets. Passages that many documents share are frequent, hence at the end of
+the order, and hardly ever listed.
 
 Texts with equal words are grouped by a 128-bit hash first, so any number of copies is one document
-afterwards. Lists of many near copies would give quadratically many pairs; therefore every list is
-first paired with its hub alone, and the lists that still hold more than one group are then paired
-in full across the groups. The result is the same as pairing all with all.
+afterwards. Every list is then paired with its hub alone. Lists that still hold more than one group are
+compared in blocks of BLOCK documents, each within one task, which returns the pairs that pass the
+estimate only; lists of the same documents are compared once. The result is the same as comparing all
+with all.
 
-Defined cases
+A document is a row's doc_id and text. Defined cases
 * null or blank text, or text without words: in no group, stays.
 * null doc_id: cannot be named, in no group, stays.
-* repeated doc_id: one of its rows stays (the least text, null last); groups are formed by its texts.
-* fewer than SHINGLE words: the one shingle is all of its words.
-* nulls in other columns and extra columns: passed through.
-* ties: the smallest doc_id of a group stays.
+* repeated doc_id with different texts: documents of their own, grouped by their texts.
+* rows with the same doc_id and text: one stays, that with the least hash of its columns.
+* fewer than SHINGLE words: the one shingle is all of its words. Very long texts: whole.
+* nulls in other columns and extra columns: passed through. Empty table: no groups, no rows.
+* ties: of a group the document with the smallest doc_id stays; of several with that, the one with the least text hash.
 """
 
 from __future__ import annotations
@@ -33,17 +38,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import forget, read_table, small_side, stored, unused
+from .common import forget, parts_of, read_table, small_side, stored, unused
 
 WORD = re.compile(r"\w+")
 SHINGLE, K = 3, 64
-#: The near copies of the given tables lie above 0.5 and unrelated texts far below. SLACK is four deviations of the estimate there.
-THRESHOLD, SLACK = 0.5, 0.25
+#: The near copies of the given tables lie above 0.5 and unrelated texts far below.
+THRESHOLD, SIGMAS = 0.5, 4.0
+#: Documents of a list that are compared with as many others at a time, and pairs of them whose sketches are merged at once.
+BLOCK, PAIRS = 512, 16_384
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -65,8 +72,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str, cache: _Words) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    out = []
+    for part in parts_of(text):
+        words = WORD.findall(part.lower())
+        out.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(w: np.ndarray) -> np.ndarray:
@@ -86,9 +96,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def needed(size: int | np.ndarray, threshold: float = THRESHOLD, slack: float = SLACK):
-    """Values that a sketch of this size shares at least with any partner that the estimate lets pass."""
-    return np.maximum(1, np.ceil((threshold - slack) * size - 1e-9)).astype(np.int64)
+def deviation(union: float | np.ndarray, threshold: float = THRESHOLD):
+    """The standard deviation of the estimate at the threshold, for a union of this size."""
+    return np.sqrt(threshold * (1 - threshold) / K * np.maximum(0, union - K) / np.maximum(1, union - 1))
+
+
+def needed(n: int | np.ndarray, threshold: float = THRESHOLD, sigmas: float = SIGMAS):
+    """Values that the sketch of n shingles shares with that of any document whose similarity reaches the threshold; their union is n / threshold at most."""
+    far = (threshold - sigmas * deviation(n / threshold, threshold)) * K
+    return np.maximum(1, np.ceil(np.minimum(threshold * n, far) - 1e-9)).astype(np.int64)
+
+
+def _needed(n: Column, threshold: float, sigmas: float) -> Column:
+    union = n / F.lit(threshold)
+    share = F.greatest(F.lit(0.0), union - K) / F.greatest(F.lit(1.0), union - 1)
+    far = (F.lit(threshold) - sigmas * F.sqrt(F.lit(threshold * (1 - threshold) / K) * share)) * K
+    return F.greatest(F.lit(1), F.ceil(F.least(F.lit(threshold) * n, far) - 1e-9))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -98,14 +121,14 @@ def _signed(h: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Words()
     for b in batches:
-        ids, hi, lo, flat, sizes, total = [], [], [], [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+        on, hi, lo, flat, sizes, total = [], [], [], [], [], []
+        for i, t in enumerate(b.column(3)):
             w = word_hashes(t.as_py(), cache)
             if not len(w):
                 continue
             whole = xxhash.xxh3_128_intdigest(w.tobytes())
             s = shingles(w)
-            ids.append(i)
+            on.append(i)
             hi.append((whole >> 64) - (1 << 63))
             lo.append((whole & ((1 << 64) - 1)) - (1 << 63))
             flat.append(s[:K].copy())  # a view would keep all of s
@@ -113,28 +136,52 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(s))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         values = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(total, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values)))],
-            names=["id", "hi", "lo", "n", "sketch"],
-        )
+        kept = [b.column(c).take(pa.array(on, pa.int64())) for c in range(3)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(total, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values)))], names=["row", "doc_id", "text_key", "hi", "lo", "n", "sketch"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Words()
     for b in batches:
         sets = [shingles(word_hashes(t.as_py(), cache)).tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
 
 
-@F.pandas_udf(DoubleType())
-def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of the union's bottom k that both sketches hold."""
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b)):
-        k = max(min(K, len(x)), min(K, len(y)))
-        u, n = np.unique(np.concatenate([x, y]).view(np.uint64), return_counts=True)
-        out[i] = (n[:k] == 2).sum() / max(1, min(k, len(u)))
-    return pd.Series(out)
+def _padded(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of K values for each sketch, the largest number behind its own; the sizes)."""
+    size = np.array([len(x) for x in sketches], np.int64)
+    out = np.full((len(sketches), K), np.uint64(0xFFFFFFFFFFFFFFFF))
+    out[np.arange(K)[None, :] < size[:, None]] = np.concatenate([*sketches, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
+    return out, size
+
+
+def estimates(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """For each row the share of the union's bottom K that both sketches hold; a sketch below K is the whole set."""
+    both = np.concatenate([a, b], 1)
+    both.sort(1)
+    twice = both[:, 1:] == both[:, :-1]
+    twice &= np.arange(1, 2 * K)[None, :] < (a_size + b_size)[:, None]
+    so_far = np.cumsum(twice, 1)
+    shared = (twice & (np.arange(2, 2 * K + 1)[None, :] - so_far <= K)).sum(1)
+    return shared / np.maximum(1, np.minimum(K, a_size + b_size - so_far[:, -1]))
+
+
+def _may(estimate: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
+    """Do the estimate and the sizes leave room for the threshold?"""
+    cut = threshold - sigmas * deviation((na + nb) / (1 + threshold), threshold)
+    return (estimate >= cut - 1e-9) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
+
+
+def _likely(threshold: float, sigmas: float):
+    @F.pandas_udf("boolean")
+    def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), bool)
+        for lo in range(0, len(a), PAIRS):
+            some = slice(lo, lo + PAIRS)
+            out[some] = _may(estimates(*_padded(list(a[some])), *_padded(list(b[some]))), na[some].to_numpy(), nb[some].to_numpy(), threshold, sigmas)
+        return pd.Series(out)
+
+    return likely
 
 
 @F.pandas_udf(DoubleType())
@@ -143,7 +190,7 @@ def _exact(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the least id reachable over the edges (a, b). Large-star and small-star rounds until nothing changes; each round is stored."""
+    """(row, root): the least row reachable over the edges (a, b). Large-star and small-star rounds until nothing changes; each round is stored."""
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now, last = stored(both, "cc"), None
     while True:
@@ -160,86 +207,140 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(star, "cc")
         forget(now)
         now = after
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
-    out = stored(roots.union(roots.select(F.col("root").alias("id"), "root").distinct()), "roots")
+    roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "row")
+    out = stored(roots.union(roots.select(F.col("root").alias("row"), "root").distinct()), "roots")
     forget(now)
     return out
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold, with their similarity."""
-    s = sketches.select("id", "sketch")
-    likely = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").where(_estimate("sa", "sb") >= threshold - slack).select("a", "b")
-    likely = stored(likely, "likely")
-    ids = stored(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ids")
-    mine = texts.join(small_side(ids, 16), "id", "left_semi").select("id", "text")
-    sets = stored(mine.mapInArrow(_shingle_sets, "id long, shingles binary"), "sets")
+def _verified(likely: DataFrame, names: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the threshold, with their similarity. names: row, doc_id, text_key."""
+    ids = stored(likely.select(F.col("a").alias("row")).union(likely.select("b")).distinct().join(names, "row"), "ids")
+    mine = _texts(docs).join(small_side(ids, 32), ["doc_id", "text_key"]).select("row", "text")
+    sets = stored(mine.mapInArrow(_shingle_sets, "row long, shingles binary"), "sets")
     out = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", _exact("xa", "xb").alias("jaccard"))
     out = stored(out.where(F.col("jaccard") >= threshold), "pairs")
-    forget(likely, ids, sets)
+    forget(ids, sets)
     return out
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), "text").where("id is not null and text is not null")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def _compare(threshold: float, sigmas: float):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The likely pairs of different groups in one block of a list, or across two blocks."""
+        row, g, n, part = (pdf[c].to_numpy() for c in ("row", "g", "n", "part"))
+        sketch, size = _padded(list(pdf["sketch"]))
+        found, two = [], part.min() != part.max()
+        for i in range(len(row) - 1):  # a line of the block's triangle at a time
+            j = np.arange(i + 1, len(row))
+            j = j[(g[j] != g[i]) & (np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]) - 1e-9) & (not two or part[j] != part[i])]
+            found.append(np.stack([np.full(len(j), i), j]))
+        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        on = [np.zeros(0, bool)]
+        for lo in range(0, pairs.shape[1], PAIRS):
+            a, b = pairs[:, lo : lo + PAIRS]
+            on.append(_may(estimates(sketch[a], size[a], sketch[b], size[b]), n[a], n[b], threshold, sigmas))
+        a, b = pairs[:, np.concatenate(on)]
+        return pd.DataFrame({"a": np.minimum(row[a], row[b]), "b": np.maximum(row[a], row[b])})
+
+    return compare
+
+
+def _across(listed: DataFrame, near: DataFrame, sketches: DataFrame, threshold: float, sigmas: float) -> DataFrame:
+    """The likely pairs of documents that share a list but no group.
+
+    A long list is cut into blocks of its largest group and blocks of the others; those of the largest group aren't compared with each other."""
+    placed = stored(listed.select("value", "row").join(near, "row", "left").select("value", "row", F.coalesce("root", "row").alias("g")), "placed")
+    parts = placed.groupBy("value", "g").agg(F.count("*").alias("m"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.min("row").alias("r"))
+    whole = parts.groupBy("value").agg(F.sum("m").alias("m"), F.max(F.struct("m", "g")).alias("big"), F.sum("s").alias("s"), F.min("r").alias("r")).where("big.m < m")
+    lists = whole.groupBy("m", "s", "r").agg(F.min(F.struct("value", "big")).alias("l")).select("l.value", "l.big.g", F.col("l.big.m").alias("n"), "m").toDF("value", "large", "in_large", "m")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    small = F.col("m") <= BLOCK
+    lists = stored(lists.select("value", "large", F.when(small, 0).otherwise(blocks(F.col("in_large"))).alias("x"), F.when(small, 1).otherwise(blocks(F.col("m") - F.col("in_large"))).alias("y")), "lists")
+    at, large = F.xxhash64("row", "value"), (F.col("g") == F.col("large")) & (F.col("x") > 0)
+    members = placed.join(small_side(lists, 32), "value").withColumn("part", F.when(large, F.pmod(at, F.col("x"))).otherwise(F.col("x") + F.pmod(at, F.col("y"))).cast("int"))
+    other = F.explode(F.sequence(F.when(large, F.col("x")).otherwise(F.lit(0)), F.col("x") + F.col("y") - 1))
+    members = members.join(sketches.select("row", "n", "sketch"), "row").select("value", "row", "g", "n", "sketch", "part", other.alias("other"))
+    units = members.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other")
+    pairs = units.groupBy("value", "p", "q").applyInPandas(_compare(threshold, sigmas), "a long, b long").distinct()
+    out = stored(pairs, "late")
+    forget(placed, lists)
+    return out
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
-    """(id, root) of every document in a group of two or more, root being the least id in it. Stored."""
-    texts = _texts(docs)
-    all_sketches = stored(texts.mapInArrow(_sketches, "id long, hi long, lo long, n int, sketch array<long>"), "sketches")
-    copies = all_sketches.groupBy("hi", "lo").agg(F.min("id").alias("root"), F.count("*").alias("n"))
-    same = all_sketches.select("id", "hi", "lo").join(copies.where("n > 1"), ["hi", "lo"]).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    same = stored(same.distinct(), "same")
-    gone = small_side(same, 16).select(F.col("a").alias("id"))
-    one = all_sketches.join(gone, "id", "left_anti")
+def groups(docs: DataFrame, threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> DataFrame:
+    """doc_id, text_key (of each document in a group of two or more), kept_id, kept_key (of the one that stays). Stored."""
+    texts = _texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text")  # fixed once it's stored
+    sketches = stored(texts.mapInArrow(_sketches, "row long, doc_id long, text_key long, hi long, lo long, n int, sketch array<long>"), "sketches")
+    names = sketches.select("row", "doc_id", "text_key")
+    copies = sketches.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    same = sketches.select("row", "hi", "lo").join(copies, ["hi", "lo"]).where("row <> first.row").select("row", F.col("first.row").alias("first"))
+    same = stored(same, "same")
+    one = sketches.join(small_side(same.select("row"), 16), "row", "left_anti")
 
-    posting = one.select("id", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    posting = one.select("row", "n", F.explode("sketch").alias("value"))
     often = posting.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    often = stored(often, "often")
-    shared = posting.join(small_side(often, 24), "value")
-    by_doc = Window.partitionBy("id")
-    shared = shared.withColumn("c", F.count("*").over(by_doc)).withColumn("place", F.row_number().over(by_doc.orderBy("df", "value")))
-    need = F.greatest(F.lit(1), F.ceil((threshold - slack) * F.col("size") - 1e-9))
-    listed = shared.where((F.col("size") - F.col("c") + F.col("place")) <= F.col("size") - need + 1).where(F.col("c") >= need)
-    listed = stored(listed.select("value", "id", "c"), "listed")
-
-    hubs = listed.groupBy("value").agg(F.min_by("id", F.struct(-F.col("c"), F.col("id"))).alias("hub"))
-    first = listed.join(hubs, "value").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    edges = _verified(first, all_sketches, texts, threshold, slack)
+    shared = posting.join(often, "value")
+    by_doc = Window.partitionBy("row")
+    shared = shared.withColumn("c", F.count("*").over(by_doc)).withColumn("place", F.row_number().over(by_doc.orderBy("df", "value"))).withColumn("need", _needed(F.col("n"), threshold, sigmas))
+    listed = stored(shared.where("c >= need and place <= c - need + 1").select("value", "row", "c"), "listed")
+
+    hubs = listed.groupBy("value").agg(F.min_by("row", F.struct(-F.col("c"), F.col("row"))).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    first = listed.join(hubs, "value").where("row <> hub").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
+    first = stored(first, "first")
+    used = stored(first.select(F.col("a").alias("row")).union(first.select("b")).distinct(), "used")
+    s = one.join(small_side(used, 16), "row", "left_semi").select("row", "sketch", "n")
+    pairs = first.join(s.toDF("a", "sa", "na"), "a").join(s.toDF("b", "sb", "nb"), "b")
+    likely = stored(pairs.where(_likely(threshold, sigmas)("sa", "sb", "na", "nb")).select("a", "b"), "likely")
+    edges = _verified(likely, names, docs, threshold)
     near = components(edges.select("a", "b"))
+    forget(first, used, likely)
+
+    late = _across(listed, near, one, threshold, sigmas)
+    more = _verified(late, names, docs, threshold)
+    root = near.select(F.col("row").alias("a"), F.col("root").alias("ra"))
+    apart = more.join(root, "a", "left").join(root.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    tops = components(apart)  # of whole groups
+    joined = tops.toDF("root", "top")
+    merged = near.join(joined, "root", "left").select("row", F.coalesce("top", "root").alias("root"))
+    merged = stored(merged.union(joined.join(near.select(F.col("row").alias("root")), "root", "left_anti")), "merged")  # with those that had no group before
+
+    of_copies = same.join(merged.toDF("first", "root"), "first", "left").select("row", F.coalesce("root", "first").alias("root"))
+    alone = same.select(F.col("first").alias("row")).distinct().join(merged, "row", "left_anti").withColumn("root", F.col("row"))
+    named = stored(merged.union(of_copies).union(alone).join(names, "row"), "named")
+    kept = stored(named.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")), "kept")
+    out = named.join(small_side(kept, 40), "root").select("doc_id", "text_key", F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key")).distinct()
+    out = stored(out, "groups")
+    forget(sketches, same, listed, edges, near, late, more, tops, merged, named, kept)
+    return out
 
-    placed = listed.join(near, "id", "left").select("value", "id", F.coalesce("root", "id").alias("g"))
-    parts = placed.groupBy("value", "g").agg(F.collect_set("id").alias("ids"))
-    other = parts.select("value", F.col("g").alias("g2"), F.col("ids").alias("ids2"))
-    across = parts.join(other, "value").where("g < g2").select(F.explode("ids").alias("x"), "ids2").select("x", F.explode("ids2").alias("y"))
-    rest = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    late = _verified(rest, all_sketches, texts, threshold, slack)
 
-    out = components(edges.select("a", "b").union(late.select("a", "b")).union(same.select("a", "b")))
-    forget(all_sketches, same, often, listed, edges, near, late)
-    return out
+_GONE = "doc_id <> kept_id or text_key <> kept_key"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document that has copies or near copies before it, and the one of its group that stays."""
-    found = groups(read_table(spark, sf_dir, "documents"))
-    return found.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
+    return groups(read_table(spark, sf_dir, "documents")).where(_GONE).select("doc_id", "kept_id")
 
 
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group; repeated doc_ids are reduced to one row."""
+    """docs with one document of each group, and of rows with the same doc_id and text one."""
     found = groups(docs, **options)
-    gone = small_side(found.where("id <> root"), 16).select(F.col("id").alias("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    k, r, d = unused(docs, "text_key", "row_of_text", "id_of_text")
+    keyed = docs.withColumn(k, F.xxhash64("text")).withColumn(d, F.col("doc_id").cast("long"))
+    gone = small_side(found.where(_GONE), 16).select(F.col("doc_id").alias(d), F.col("text_key").alias(k))
+    left = keyed.join(gone, [d, k], "left_anti")
+    twice = stored(keyed.where("doc_id is not null and text is not null").groupBy(d, k).agg(F.count("*").alias(r)).where(F.col(r) > 1).select(d, k), "twice")
     if twice.isEmpty():
-        return left
-    twice = small_side(twice, 16)
-    (r,) = unused(docs, "row_of_id")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    kept = left.join(twice, "doc_id", "left_semi").withColumn(r, F.row_number().over(order)).where(F.col(r) == 1).drop(r)
-    return left.join(twice, "doc_id", "left_anti").unionByName(kept)
+        return left.select(*docs.columns)
+    worded = found.select(F.col("doc_id").alias(d), F.col("text_key").alias(k))  # rows of a text without words are in no group, and all stay
+    twice = small_side(stored(twice.join(worded, [d, k], "left_semi"), "twice"), 16)
+    order = Window.partitionBy(d, k).orderBy(F.xxhash64(*docs.columns), *[F.col(f"`{c}`") for c, t in docs.dtypes if "map" not in t])
+    kept = left.join(twice, [d, k], "left_semi").withColumn(r, F.row_number().over(order)).where(F.col(r) == 1)
+    return left.join(twice, [d, k], "left_anti").select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

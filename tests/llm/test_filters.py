@@ -2,9 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import bottomk, positional, quality
 
@@ -84,28 +87,37 @@ def altered(rng, text, share):
 
 
 def brute_groups(rows, threshold=bottomk.THRESHOLD):
+    """{(id, text): (id, text) that stays} of every document in a group of two or more."""
     sets = {}
     for i, t in rows:
         w = re.findall(r"\w+", (t or "").lower())
         if i is not None and w:
-            n = max(1, len(w) - 2)
-            sets.setdefault(i, {tuple(w[k : k + 3]) for k in range(n)})
-    root = {i: i for i in sets}
+            sets[i, t] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+    hashed = lambda d: (d[0], np.uint64(xxhash.xxh64_intdigest(d[1], seed=42)).astype(np.int64))
+    docs = sorted(sets, key=hashed)
+    root = {d: d for d in docs}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
+    for k, a in enumerate(docs):
+        for b in docs[k + 1 :]:
             if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    groups = {i: find(i) for i in ids}
-    big = {g for g in groups.values() if list(groups.values()).count(g) > 1}
-    return {(i, g) for i, g in groups.items() if g in big}
+                x, y = sorted((find(a), find(b)), key=hashed)
+                root[y] = x
+    group = {d: find(d) for d in docs}
+    size = Counter(group.values())
+    return {d: g for d, g in group.items() if size[g] > 1}
+
+
+def found_groups(spark, rows, **options):
+    docs = docs_of(spark, rows)
+    texts = {(r.doc_id, r.k): r.text for r in docs.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    got = bottomk.groups(docs, **options).collect()
+    assert len(got) == len({(r.doc_id, r.text_key) for r in got})
+    return {(r.doc_id, texts[r.doc_id, r.text_key]): (r.kept_id, texts[r.kept_id, r.kept_key]) for r in got}
 
 
 def corpus(rng):
@@ -125,8 +137,43 @@ def corpus(rng):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_groups_equal_brute_force(spark, seed):
     rows = corpus(random.Random(seed))
-    got = {(r.id, r.root) for r in bottomk.groups(docs_of(spark, rows)).collect()}
-    assert got == brute_groups(rows)
+    assert found_groups(spark, rows) == brute_groups(rows)
+
+
+def test_near_groups_with_repeated_ids_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = corpus(rng)
+    rows = [(rng.choice([i, i // 3, i // 3]), t) for i, t in rows]
+    want = brute_groups(rows)
+    assert found_groups(spark, rows) == want
+    left = Counter((r.doc_id, r.text) for r in bottomk.drop_duplicates(docs_of(spark, rows)).collect())
+    assert left == Counter({d: 1 for d in rows if want.get(d, d) == d})
+
+
+def test_repeated_ids_lose_no_text(spark):
+    x, z, other = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    out = bottomk.drop_duplicates(docs_of(spark, [(1, x), (1, z), (2, z), (3, other)])).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, x), (1, z), (3, other)])
+
+
+def test_blocks_of_long_lists_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bottomk, "BLOCK", 5)
+    rng = random.Random(12)
+    passage, base = prose(rng, 40), prose(rng, 120)
+    rows = [(i, prose(rng, rng.randint(15, 60)) + " " + passage) for i in range(40)]
+    rows += [(100 + i, altered(rng, base, 0.1) + " " + passage) for i in range(30)]
+    rows += [(200 + i, altered(rng, rows[i][1], 0.15)) for i in range(0, 40, 2)]
+    assert found_groups(spark, rows) == brute_groups(rows)
+
+
+def test_estimates_equal_sets():
+    rng = np.random.default_rng(4)
+    a, b = ([np.sort(rng.choice(300, rng.integers(1, bottomk.K + 1), replace=False)).astype(np.int64) for _ in range(200)] for _ in range(2))
+    got = bottomk.estimates(*bottomk._padded(a), *bottomk._padded(b))
+    for x, y, e in zip(a, b, got):
+        union = sorted({*x} | {*y})[: bottomk.K]
+        assert e == len([v for v in union if v in x and v in y]) / len(union)
+    assert bottomk.needed(20) == 10 and bottomk.needed(32) == 16 and bottomk.needed(10**9) == 17 and bottomk.needed(1) == 1
 
 
 def test_copies_with_a_tenth_of_the_words_changed_are_found(spark):
@@ -137,35 +184,35 @@ def test_copies_with_a_tenth_of_the_words_changed_are_found(spark):
         for k in rng.sample(range(len(w)), (20, 28, 34, 40)[i % 4]):
             w[k] = "changed" + w[k]
         rows.append((100 + i, " ".join(w)))
-    got = {(r.id, r.root) for r in bottomk.groups(docs_of(spark, rows)).collect()}
-    assert got == {(i, i) for i in range(40)} | {(100 + i, i) for i in range(40)}
+    got = {d[0]: k[0] for d, k in found_groups(spark, rows).items()}
+    assert got == {i: i for i in range(40)} | {100 + i: i for i in range(40)}
 
 
 def test_many_copies_of_a_copy(spark):
     rng = random.Random(4)
     base = prose(rng, 200)
     rows = [(i, base if i % 2 else altered(rng, base, 0.02)) for i in range(300)]
-    assert {r.root for r in bottomk.groups(docs_of(spark, rows)).collect()} == {0}
+    assert {k[0] for k in found_groups(spark, rows).values()} == {0}
     assert bottomk.drop_duplicates(docs_of(spark, rows)).count() == 1
 
 
 def test_dedup_defined_cases(spark):
     rng = random.Random(5)
     t, long = prose(rng, 50), prose(rng, 30_000)
-    rows = [(1, t), (2, t), (3, None), (4, None), (5, ""), (6, ""), (7, "..."), (None, t), (None, t), (8, long), (9, long + " end"), (10, "one"), (11, "ONE!"), (12, "x y"), (12, "x y"), (13, "p q r"), (13, "a b c")]
+    rows = [(1, t), (2, t), (3, None), (4, None), (5, ""), (6, ""), (6, ""), (7, "..."), (None, t), (None, t), (8, long), (9, long + " end"), (10, "one"), (11, "ONE!"), (12, "x y"), (12, "x y"), (13, "p q r"), (13, "a b c")]
     docs = docs_of(spark, rows)
-    docs = docs.withColumn("id", docs.n_chars).withColumn("root", docs.lang).withColumn("row_of_id", docs.lang)
+    docs = docs.withColumn("id", docs.n_chars).withColumn("root", docs.lang).withColumn("row_of_text", docs.lang).withColumn("text_key", docs.doc_id).withColumn("kept_id", docs.doc_id)
     out = bottomk.drop_duplicates(docs)
     assert out.columns == docs.columns
     ids = sorted([r.doc_id for r in out.collect()], key=lambda x: (x is None, x))
-    assert ids == [1, 3, 4, 5, 6, 7, 8, 10, 12, 13, None, None]
-    assert [r.text for r in out.where("doc_id = 13").collect()] == ["a b c"]
+    assert ids == [1, 3, 4, 5, 6, 6, 7, 8, 10, 12, 13, 13, None, None]
     assert bottomk.drop_duplicates(docs.limit(0)).count() == 0
+    assert bottomk.groups(docs.limit(0)).count() == 0
 
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
-    got = {r.id: r.root for r in bottomk.components(edges).collect()}
+    got = {r.row: r.root for r in bottomk.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
