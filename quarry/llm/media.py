@@ -1,8 +1,8 @@
 """Media columns: baseline JPEG read in Python and numpy, as far as a thumbnail needs it.
 
-The markers are parsed, the scans' Huffman codes decoded (AC coefficients are skipped over, not
-kept), and the DC coefficients of the luminance give a picture of an eighth of the size: one pixel
-for each block of 8 x 8. Stored are the dimensions, the thumbnail, and two hashes of it: a 64-bit
+The markers are parsed, the scans' Huffman codes decoded (AC coefficients are skipped over, several
+symbols at a time, by a table that numpy makes of each code), and the DC coefficients of the luminance
+give a picture of an eighth of the size: one pixel for each block of 8 x 8. Stored are the dimensions, the thumbnail, and two hashes of it: a 64-bit
 difference hash, near for pictures that look alike, and a digest, equal for equal thumbnails.
 
 The given tables hold no pictures. draw() and encode() make some, so that there is a media column to
@@ -11,6 +11,7 @@ read: each embedding becomes a picture of 64 tiles, encoded as baseline JPEG wit
 Defined cases
 * null or empty bytes: a row with the error 'empty' and nulls otherwise.
 * not a JPEG, progressive or arithmetic coding, 12 bits, cut-off or damaged data: the error says what; no crash.
+* a header that promises more blocks than the scan can hold (2 bits each at least): 'scan data end early', before memory is taken.
 * null id: kept. Repeated rows: one row each. Pictures whose size is no multiple of 8 or of the sampling: padding blocks are dropped.
 * null or wrongly sized embeddings: null picture, hence 'empty'. Very large pictures: whole. Empty table: no rows. Extra columns: ignored.
 """
@@ -18,6 +19,7 @@ Defined cases
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,65 +38,50 @@ class Damaged(ValueError):
     pass
 
 
-def _table(lengths: bytes, symbols: bytes) -> list[int]:
-    """For each 16 bits that may come next: symbol << 8 | length, or 0."""
-    out, code, k = [0] * 65536, 0, 0
+def _table(lengths: bytes, symbols: bytes) -> np.ndarray:
+    """For each 16 bits that may come next: symbol << 8 | length of its code, or 0."""
+    out, at, k = np.zeros(65536, np.int32), 0, 0
     for n, count in enumerate(lengths, 1):
-        for _ in range(count):
-            lo = code << (16 - n)
-            if lo + (1 << (16 - n)) > 65536 or k >= len(symbols):
-                raise Damaged("bad Huffman table")
-            out[lo : lo + (1 << (16 - n))] = [symbols[k] << 8 | n] * (1 << (16 - n))
-            code, k = code + 1, k + 1
-        code <<= 1
+        wide = count << (16 - n)
+        if at + wide > 65536 or k + count > len(symbols):
+            raise Damaged("bad Huffman table")
+        out[at : at + wide] = np.repeat((np.frombuffer(symbols, np.uint8, count, k).astype(np.int32) << 8) | n, 1 << (16 - n))
+        at, k = at + wide, k + count
     return out
 
 
-_seen: dict[bytes, list[int]] = {}
+#: In a table of runs: the end of the block follows; places to go on by; bits that this takes.
+_END, _ON = 1 << 16, 8
+
+
+def _runs(table: np.ndarray) -> np.ndarray:
+    """For each 16 bits that may come next in a block's AC part: _END | places << 8 | bits of as many whole symbols, values included, as they hold, or 0."""
+    next16 = np.arange(65536, dtype=np.int64)
+    used, places, live, end = np.zeros(65536, np.int64), np.zeros(65536, np.int64), np.ones(65536, bool), np.zeros(65536, bool)
+    while live.any():
+        e = table[(next16 << used) & 0xFFFF]
+        take = (e & 0xFF) + ((e >> 8) & 15)
+        live &= (e > 0) & (used + take <= 16)
+        stop = live & (e >> 8 == 0)
+        end |= stop
+        used += np.where(live, take, 0)
+        places += np.where(live & ~stop, (e >> 12) + 1, 0)
+        live &= ~stop & (places < 64)
+    return np.where(end, _END, 0) | np.minimum(places, 255) << 8 | used
 
 
-def _cached(raw: bytes) -> list[int]:
-    if raw not in _seen:
-        if len(_seen) > 64:
+_seen: dict[bytes, tuple[list[int], list[int]]] = {}
+
+
+def _cached(raw: bytes, ac: bool) -> tuple[list[int], list[int]]:
+    """(symbols, runs) of a Huffman table; runs are for AC only."""
+    key = bytes([ac]) + raw
+    if key not in _seen:
+        if len(_seen) > 16:
             _seen.clear()
-        _seen[raw] = _table(raw[:16], raw[16:])
-    return _seen[raw]
-
-
-class _Bits:
-    """The bits of one restart interval; reads past the end are an error."""
-
-    def __init__(self, raw: bytes) -> None:
-        raw = raw.replace(b"\xff\x00", b"\xff")
-        self.n = len(raw) * 8
-        self.value, self.at = int.from_bytes(raw + b"\xff\xff\xff\xff", "big") if len(raw) < 512 else None, 0
-        self.raw, self.total = raw + b"\xff" * 8, self.n + 32
-
-    def peek16(self) -> int:
-        if self.value is not None:
-            return (self.value >> (self.total - self.at - 16)) & 0xFFFF
-        b = self.at >> 3
-        return (int.from_bytes(self.raw[b : b + 3], "big") >> (8 - (self.at & 7))) & 0xFFFF
-
-    def symbol(self, table: list[int]) -> int:
-        x = table[self.peek16()]
-        if not x:
-            raise Damaged("bad Huffman code")
-        self.at += x & 0xFF
-        if self.at > self.n:
-            raise Damaged("scan data end early")
-        return x >> 8
-
-    def signed(self, n: int) -> int:
-        if not n:
-            return 0
-        if n > 15:
-            raise Damaged("bad coefficient size")
-        v = self.peek16() >> (16 - n)
-        self.at += n
-        if self.at > self.n:
-            raise Damaged("scan data end early")
-        return v if v >> (n - 1) else v - (1 << n) + 1
+        t = _table(raw[:16], raw[16:])
+        _seen[key] = t.tolist(), _runs(t).tolist() if ac else []
+    return _seen[key]
 
 
 def parse(raw: bytes) -> tuple[int, int, int, np.ndarray]:
@@ -133,7 +120,7 @@ def parse(raw: bytes) -> tuple[int, int, int, np.ndarray]:
                 count = sum(body[1:17])
                 if len(body) < 17 + count:
                     raise Damaged("bad Huffman table")
-                huff[body[0]] = _cached(body[1 : 17 + count])
+                huff[body[0]] = _cached(body[1 : 17 + count], body[0] >= 16)
                 body = body[17 + count :]
         elif m in (0xC0, 0xC1):
             if len(body) < 6 or len(body) < 6 + 3 * body[5]:
@@ -189,14 +176,15 @@ def _scan(data: bytes, head: bytes, frame: tuple, huff: dict, restart: int, dc:
             raise Damaged("scan without tables")
         mine.append((known[c], huff[t >> 4], huff[16 + (t & 15)]))
     wide, high = -(-w // (8 * hm)), -(-h // (8 * vm))
-    for (c, ch, cv, _), _, _ in mine:
-        dc.setdefault(c, np.zeros((high * cv, wide * ch), np.int32))
     if len(mine) == 1:  # not interleaved: only the blocks that hold picture, in rows
-        (c, ch, cv, _), d, a = mine[0]
+        (c, ch, cv, _), _, _ = mine[0]
         cols, rows = -(-(-(-w * ch // hm)) // 8), -(-(-(-h * cv // vm)) // 8)
-        units = [[(0, d, a, dc[c], k // cols, k % cols)] for k in range(cols * rows)]
+        shape, each = (rows, cols), [(0, 1, 1)]
     else:
-        units = [[(i, d, a, dc[c], y * cv + v, x * ch + u) for i, ((c, ch, cv, _), d, a) in enumerate(mine) for v in range(cv) for u in range(ch)] for y in range(high) for x in range(wide)]
+        shape, each = (high, wide), [(i, p[1], p[2]) for i, (p, _, _) in enumerate(mine)]
+    if shape[0] * shape[1] * sum(h * v for _, h, v in each) * 2 > len(data) * 8:
+        raise Damaged("scan data end early")
+    planes = [dc.setdefault(c, np.zeros((high * cv, wide * ch), np.int32)) for (c, ch, cv, _), _, _ in mine]
     pieces, k, start = [], 0, 0
     while True:  # at restart markers
         k = data.find(b"\xff", k)
@@ -207,23 +195,58 @@ def _scan(data: bytes, head: bytes, frame: tuple, huff: dict, restart: int, dc:
             start = k + 2
         k += 2
     pieces.append(data[start:])
-    step = restart or len(units)
-    for p, lo in enumerate(range(0, len(units), max(1, step))):
+    total = shape[0] * shape[1]
+    step = restart or total
+    tables = [(d[0], *a) for _, d, a in mine]
+    for p, lo in enumerate(range(0, total, step)):
         if p >= len(pieces):
             raise Damaged("scan data end early")
-        bits, last = _Bits(pieces[p]), [0] * len(mine)
-        for unit in units[lo : lo + step]:
-            for i, d, a, plane, y, x in unit:
-                last[i] += bits.signed(bits.symbol(d))
-                plane[y, x] = last[i]
+        _interval(pieces[p], lo, min(total, lo + step), shape[1], each, tables, planes)
+
+
+def _interval(raw: bytes, lo: int, hi: int, wide: int, each: list, tables: list, planes: list) -> None:
+    """Decode the DC values of the units lo .. hi - 1 of a restart interval into the planes."""
+    raw = raw.replace(b"\xff\x00", b"\xff")
+    n = len(raw) * 8
+    b = np.frombuffer(raw + b"\xff" * 512, np.uint8).astype(np.uint32)  # a block's bits beyond the end stay within the padding
+    window = array("I", ((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]).tobytes())  # 24 bits from each byte on
+    at, last = 0, [0] * len(each)
+    for unit in range(lo, hi):
+        y, x = divmod(unit, wide)
+        for i, h, v in each:
+            symbols, ac, runs = tables[i]
+            for block in range(h * v):
+                e = symbols[(window[at >> 3] >> (8 - (at & 7))) & 0xFFFF]
+                if not e:
+                    raise Damaged("bad Huffman code")
+                at += e & 0xFF
+                size = e >> 8
+                if size:
+                    if size > 15:
+                        raise Damaged("bad coefficient size")
+                    bits = ((window[at >> 3] >> (8 - (at & 7))) & 0xFFFF) >> (16 - size)
+                    at += size
+                    last[i] += bits if bits >> (size - 1) else bits - (1 << size) + 1
+                planes[i][y * v + block // h, x * h + block % h] = last[i]
                 k = 1
                 while k < 64:
-                    s = bits.symbol(a)
-                    if s == 0:
+                    w = (window[at >> 3] >> (8 - (at & 7))) & 0xFFFF
+                    e = runs[w]
+                    to = k + ((e >> _ON) & 0xFF)
+                    if e >= _END and to < 64:
+                        at += e & 0xFF
+                        break
+                    if 0 < e < _END and to <= 64:
+                        at, k = at + (e & 0xFF), to
+                        continue
+                    e = ac[w]  # longer than 16 bits with its value, or the block ends among them
+                    if not e:
+                        raise Damaged("bad Huffman code")
+                    at += (e & 0xFF) + (e >> 8 & 15)
+                    if e < 256:
                         break
-                    k += (s >> 4) + 1
-                    bits.at += s & 15
-                if bits.at > bits.n:
+                    k += (e >> 12) + 1
+                if at > n:
                     raise Damaged("scan data end early")
 
 
@@ -243,7 +266,7 @@ def describe(raw: bytes | None) -> tuple:
         w, h, n, thumb = parse(bytes(raw))
     except Damaged as e:
         return (None,) * 8 + (str(e),)
-    except (IndexError, struct.error):
+    except (IndexError, struct.error, ValueError, OverflowError):
         return (None,) * 8 + ("cut off",)
     data = thumb.tobytes()
     return w, h, n, thumb.shape[1], thumb.shape[0], data, difference_hash(thumb), xxhash.xxh3_128_hexdigest(struct.pack(">HH", *thumb.shape) + data), None

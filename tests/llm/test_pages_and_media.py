@@ -1,11 +1,15 @@
 """HTML labeller, JPEG reader, secret scan, chat formatting."""
 
 import hashlib
+import os
 import random
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+import xxhash
 
 from quarry.llm import chat_format, html_blocks, media, secret_scan
 
@@ -129,6 +133,90 @@ def test_damaged_pictures_never_crash():
     assert media.describe(raw.replace(b"\xff\xc0", b"\xff\xc2"))[-1] == "not baseline"
 
 
+def plain_thumbnail(raw):
+    """Grey, without restarts: bit by bit, from the tables in the file."""
+    at, tables = 2, {}
+    while True:
+        m, n = raw[at + 1], struct.unpack_from(">H", raw, at + 2)[0]
+        body, at = raw[at + 4 : at + 2 + n], at + 2 + n
+        if m == 0xDB:
+            step = body[1]
+        if m == 0xC0:
+            h, w = struct.unpack_from(">HH", body, 1)
+        while m == 0xC4 and body:
+            code, k, t = 0, 17, tables.setdefault(body[0], {})
+            for size in range(1, 17):
+                for _ in range(body[size]):
+                    t[format(code, f"0{size}b")] = body[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+            body = body[k:]
+        if m == 0xDA:
+            break
+    bits = iter("".join(format(x, "08b") for x in raw[at:-2].replace(b"\xff\x00", b"\xff")))
+
+    def symbol(t):
+        c = ""
+        while c not in t:
+            c += next(bits)
+        return t[c]
+
+    last, out = 0, []
+    for _ in range(-(-h // 8) * -(-w // 8)):
+        n = symbol(tables[0])
+        v = "".join(next(bits) for _ in range(n))
+        last += 0 if not n else int(v, 2) if v[0] == "1" else int(v, 2) - (1 << n) + 1
+        out.append(last)
+        k = 1
+        while k < 64 and (s := symbol(tables[16])):
+            for _ in range(s & 15):
+                next(bits)
+            k += (s >> 4) + 1
+    return np.clip(np.rint(np.array(out).reshape(-(-h // 8), -1) * step / 8 + 128), 0, 255).astype(np.uint8)
+
+
+def test_query_equals_bit_by_bit_decoding(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(0, 0.15, 64).tolist()) for i in range(50)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in media.query(spark, str(tmp_path)).collect()}
+    raw = {r.vec_id: bytes(r.media) for r in media.pictures(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect()}
+    assert len(got) == 50
+    for i, r in raw.items():
+        t = plain_thumbnail(r)
+        small = [[int(t[y * t.shape[0] // 8, x * t.shape[1] // 9]) for x in range(9)] for y in range(8)]
+        bits = "".join("1" if row[x] < row[x + 1] else "0" for row in small for x in range(8))
+        assert bytes(got[i].thumbnail) == t.tobytes() and (got[i].width, got[i].height, got[i].error) == (64, 64, None)
+        assert got[i].difference_hash & (2**64 - 1) == int(bits, 2) and got[i].digest == xxhash.xxh3_128_hexdigest(struct.pack(">HH", *t.shape) + t.tobytes())
+
+
+@pytest.mark.parametrize("shape,noise", [((64, 64), 60), ((40, 120), 3), ((96, 200), 120)])
+def test_noisy_pictures_equal_bit_by_bit_decoding(shape, noise):
+    rng = np.random.default_rng(12)
+    plane = np.clip(128 + rng.normal(0, noise, shape), 0, 255).astype(np.uint8)
+    for step in (1, 8, 40):
+        raw = media.encode([plane], step=step)
+        assert (media.parse(raw)[3] == plain_thumbnail(raw)).all()
+
+
+def under_limit(code, megabytes=1500):
+    """Run code in a process of its own that may not take more memory or a minute."""
+    head = f"import resource; resource.setrlimit(resource.RLIMIT_AS, ({megabytes} << 20,) * 2)\n"
+    return subprocess.run([sys.executable, "-c", head + code], capture_output=True, text=True, timeout=60, env={**os.environ, "OPENBLAS_NUM_THREADS": "1"}, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+
+
+def test_a_small_file_with_a_giant_header():
+    done = under_limit(r"""
+from quarry.llm import media
+raw = bytearray(media.draw([0.1] * 64))
+at = raw.find(b"\xff\xc0")
+for side in (8192, 65500):
+    raw[at + 5 : at + 9] = side.to_bytes(2, "big") * 2
+    print(media.describe(bytes(raw))[-1])
+""")
+    assert done.stdout.split("\n")[:2] == ["scan data end early"] * 2, done.stderr[-500:]
+
+
 def test_difference_hash_ignores_brightness():
     rng = np.random.default_rng(8)
     t = rng.integers(20, 200, (30, 40)).astype(np.uint8)
