@@ -8,6 +8,9 @@ written and where a sensitive name takes it over. Unquoted values and tags are c
 ${X} are expanded in them and in strings other than single-quoted ones. A literal is then scored by what its target's name
 says (password, token, api key ...) and by what the literal looks like.
 
+A joined value is kept as the parts it refers to and written out only to be scored, so constants that
+double again and again take no memory. Lexing takes time in proportion to the text.
+
 The value itself is not stored: only its place, length and SHA-256.
 
 Defined cases
@@ -15,7 +18,11 @@ Defined cases
 * null doc_id: reported with a null id. Repeated rows: each is reported.
 * several equal findings in a text: one row for each place.
 * very long texts: lexed whole; constants hold from their assignment to the end of the text.
-* extra columns: ignored.
+* a value of more than MOST_JOINED characters that is joined from constants: judged by its longest part.
+* a value of fewer than 6 characters or with more than 2 blanks: not taken for a secret. A name of more than 64 parts (a.b.c ...): its last 64.
+* a value that passed more than MOST_NAMED constants: the nearest of them are named, after '...'.
+* ties (a value under several names, parts of equal length): each is reported; the first part gives the place.
+* extra columns, also with the names of the result: ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +32,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +40,12 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 LEAST_SCORE = 0.5
-#: References that would grow a literal by more characters than this stay as they are, since doubling ones (a=$a$a) have no end.
-MOST_EXPANDED = 1 << 16
+#: Characters of a joined value that are written out to be scored, and constants of its history that are named.
+MOST_JOINED, MOST_NAMED = 1 << 12, 64
 SCHEMA = "doc_id long, target string, start int, length int, sha256 string, score double, through string"
 
-_NAME = r"[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*"
-_TARGET = re.compile(rf"""(?P<q>["'])(?P<quoted>[\w.$ \-]{{1,80}})(?P=q)\]?[ \t]*(?P<op1>=>|:=|=(?![=~])|:(?![:/]))|(?P<name>{_NAME})(?:\[["'](?P<key>[\w.\-]+)["']\])?[ \t]*(?P<op2>=>|:=|\?=|=(?![=~>])|:(?![:/]))|<(?P<tag>{_NAME})>(?=[^<>\s])""")
+_NAME = r"(?<![\w$])[A-Za-z_$][\w$]*(?:[.\-][\w$]+){0,63}"
+_TARGET = re.compile(rf"""(?P<q>["'])(?P<quoted>[\w.$ \-]+)(?P=q)\]?[ \t]*(?P<op1>=>|:=|=(?![=~])|:(?![:/]))|(?P<name>{_NAME})(?:\[["'](?P<key>[\w.\-]+)["']\])?[ \t]*(?P<op2>=>|:=|\?=|=(?![=~>])|:(?![:/]))|<(?P<tag>{_NAME})>(?=[^<>\s])""")
 _STRING = re.compile(r'''[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)''', re.S)
 _NAMED = re.compile(rf"\$\{{(?P<braced>{_NAME})\}}|\$?(?P<plain>{_NAME})(?![\w(\[/@:+=])")
 _REF = re.compile(rf"\$(?:\{{(?P<braced>{_NAME})\}}|(?P<plain>[A-Za-z_]\w*))")
@@ -52,20 +58,54 @@ _PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0,
 _HARMLESS = {"count", "max", "min", "length", "len", "size", "type", "url", "uri", "path", "file", "name", "id", "field", "hint", "label", "prompt", "expiry", "expires", "ttl", "limit", "format", "policy", "public", "tokenizer", "tokens", "regex", "pattern", "header", "column", "primary", "foreign", "index"}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|(?:your|my|the|some|insert|enter|put)[_\- ].*|.*(?:change.?me|placeholder|example|dummy|redacted).*|null|none|nil|true|false|undefined|empty|test|todo|password|secret|token)$")
 _KNOWN = re.compile(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_\w{30,}$|^sk-[\w\-]{20,}$|^xox[abprs]-[\w\-]{10,}$|^eyJ[\w\-]+\.[\w\-]+\.[\w\-]*$|^AIza[\w\-]{30,}$|-----BEGIN [A-Z ]*PRIVATE KEY")
-_IN_URL = re.compile(r"^[a-z][a-z0-9+.\-]*://[^\s/:@]+:(?P<pass>[^\s/@]+)@")
+_MAY_BE_KNOWN = re.compile(r"A[KS]IA|AIza|gh|sk-|xox|eyJ|[a-z][a-z0-9+.\-]{0,30}:")
+_IN_URL = re.compile(r"^[a-z][a-z0-9+.\-]{0,30}://[^\s/:@]+:(?P<pass>[^\s/@]+)@")
 
 
-@dataclass
 class Pair:
-    """target takes literal; start and end are the literal's place where it's written, through the constants it passed."""
-
-    target: str
-    literal: str
-    start: int
-    end: int
-    through: tuple[str, ...] = ()
-    quoted: bool = True
-    setting: bool = False  # unquoted, in the syntax of a setting: NAME=value, or alone on its line
+    """target takes the joined parts, which are text or pairs referred to by a name; start and end are the place of the longest part where it's written."""
+
+    def __init__(self, target: str, parts: list[str | Pair], start: int, end: int, uses: tuple[tuple[str, Pair], ...] = (), quoted: bool = True, setting: bool = False) -> None:
+        self.target, self.start, self.end, self.uses, self.quoted = target, start, end, uses, quoted
+        self.setting = setting  # unquoted, in the syntax of a setting: NAME=value, or alone on its line
+        parts = [p for p in parts if (p if isinstance(p, str) else p.length)]
+        self.parts = parts[0].parts if len(parts) == 1 and not isinstance(parts[0], str) else parts  # so that writing out n characters takes n steps
+        self.length = sum(len(p) if isinstance(p, str) else p.length for p in parts)
+        longest = max(parts, key=lambda p: len(p) if isinstance(p, str) else p.length, default="")
+        self.told: str | Pair = self if self.length <= MOST_JOINED else longest if isinstance(longest, str) else longest.told
+        self.head, self.key = "", False
+        for p in parts:
+            self.key |= "-----BEGIN" in p if isinstance(p, str) else p.key
+            if len(self.head) < 64:
+                self.head += p[:64] if isinstance(p, str) else p.head
+
+    @property
+    def literal(self) -> str:
+        """The value; if it's joined and longer than MOST_JOINED, its longest part."""
+        out, stack = [], [self.told]
+        while stack:
+            p = stack.pop()
+            if isinstance(p, str):
+                out.append(p)
+            else:
+                stack += reversed(p.parts)
+        return "".join(out)
+
+    @property
+    def through(self) -> tuple[str, ...]:
+        """The names of the constants that the value passed, the nearest last."""
+        out: dict[str, None] = {}
+        seen, stack = set(), list(self.uses)
+        while stack:
+            name, p = stack.pop()
+            if (name, id(p)) in seen:
+                continue
+            if len(out) == MOST_NAMED and name not in out:
+                return ("...", *reversed(out))
+            seen.add((name, id(p)))
+            out.setdefault(name)
+            stack += p.uses
+        return tuple(reversed(out))
 
 
 def _string(m: re.Match) -> tuple[str, int, int]:
@@ -74,23 +114,31 @@ def _string(m: re.Match) -> tuple[str, int, int]:
 
 
 def _expanded(p: Pair, constants: dict[str, Pair]) -> Pair:
-    """p with the constants that it refers to as $X or ${X} put in; placed at its longest part."""
-    used = [m for m in _REF.finditer(p.literal) if (m["braced"] or m["plain"]) in constants]
-    if not used or sum(len(constants[m["braced"] or m["plain"]].literal) for m in used) > MOST_EXPANDED:
+    """p, of one text, with the constants that it refers to as $X or ${X} put in; placed at its longest part."""
+    text = p.parts[0] if p.parts else ""
+    parts, uses, at, own = [], [], 0, 0
+    for m in _REF.finditer(text):
+        if (c := constants.get(m["braced"] or m["plain"])) is not None:
+            parts += [text[at : m.start()], c]
+            uses.append((m["braced"] or m["plain"], c))
+            own += m.start() - at
+            at = m.end()
+    if not uses:
         return p
-    of = [constants[m["braced"] or m["plain"]] for m in used]
-    longest = max(of, key=lambda c: len(c.literal))
-    value = _REF.sub(lambda m: constants[n].literal if (n := m["braced"] or m["plain"]) in constants else m[0], p.literal)
-    own = len(p.literal) - sum(len(m[0]) for m in used)
-    start, end = (p.start, p.end) if own > len(longest.literal) else (longest.start, longest.end)
-    through = tuple(dict.fromkeys(t for m, c in zip(used, of) for t in (*c.through, m["braced"] or m["plain"])))
-    return Pair(p.target, value, start, end, through, p.quoted, p.setting)
+    parts.append(text[at:])
+    own += len(text) - at
+    longest = max((x for x in parts if not isinstance(x, str)), key=lambda c: c.length)
+    start, end = (p.start, p.end) if own > longest.length else (longest.start, longest.end)
+    return Pair(p.target, parts, start, end, tuple(uses), p.quoted, p.setting)
 
 
 def _setting(text: str, m: re.Match, start: int, end: int) -> bool:
     if text[end : end + 1] not in ("", " ", "\t", "\r", "\n", ";", "<"):
         return False
-    alone = not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip(" \t-") and not re.match(r"[ \t]*[^\s#;]", text[end : end + 80].split("\n")[0])
+    at = m.start()
+    while at and text[at - 1] in " \t-":
+        at -= 1
+    alone = (not at or text[at - 1] == "\n") and not re.match(r"[ \t]*[^\s#;]", text[end : end + 80].split("\n")[0])
     return alone or (m["op2"] in ("=", "?=") and m.end() == start and text[m.end() - 2 : m.end() - 1] not in (" ", "\t"))
 
 
@@ -102,12 +150,12 @@ def lex(text: str) -> Iterator[Pair]:
         at = m.end()
         if m["tag"]:
             close = f"</{m['tag']}>"
-            end = text.find(close, at)
-            if end < 0 or "<" in text[at:end]:
+            end = text.find("<", at)
+            if end < 0 or not text.startswith(close, end):
                 continue
-            pair = Pair(m["tag"], text[at:end].strip(), at, end)
+            pair = _expanded(Pair(m["tag"], [text[at:end].strip()], at, end), constants)
             at = end + len(close)
-            pair = constants[pair.target] = _expanded(pair, constants)
+            constants[pair.target] = pair
             yield pair
             continue
         target = m["quoted"] or m["key"] or m["name"]
@@ -118,13 +166,13 @@ def lex(text: str) -> Iterator[Pair]:
         while True:
             if s := _STRING.match(text, at):
                 value, lo, hi = _string(s)
-                part = Pair(target, value, lo, hi)
+                part = Pair(target, [value], lo, hi)
                 parts.append(part if s["b"] is not None or s["d"] is not None else _expanded(part, constants))
             elif (s := _NAMED.match(text, at)) and (name := s["braced"] or s["plain"]) in constants and (constants[name].quoted or s[0].startswith("$")):
                 c = constants[name]
-                parts.append(Pair(target, c.literal, c.start, c.end, (*c.through, name)))
+                parts.append(Pair(target, [c], c.start, c.end, ((name, c),)))
             elif not parts and (s := _BARE.match(text, at)) and (op in ("=", "?=", ":") and (not s[0].startswith(("$", "@", "%", "&")) or (v := _REF.match(s[0])) and (v["braced"] or v["plain"]) in constants)):
-                parts.append(_expanded(Pair(target, s[0], at, s.end(), quoted=False, setting=_setting(text, m, at, s.end())), constants))
+                parts.append(_expanded(Pair(target, [s[0]], at, s.end(), quoted=False, setting=_setting(text, m, at, s.end())), constants))
                 at = s.end()
                 break
             else:
@@ -139,8 +187,8 @@ def lex(text: str) -> Iterator[Pair]:
             break
         if not parts:
             continue
-        longest = max(parts, key=lambda p: len(p.literal))
-        pair = Pair(target, "".join(p.literal for p in parts), longest.start, longest.end, tuple(dict.fromkeys(t for p in parts for t in p.through)), parts[0].quoted, parts[0].setting)
+        longest = max(parts, key=lambda p: p.length)
+        pair = Pair(target, parts, longest.start, longest.end, tuple(u for p in parts for u in p.uses), parts[0].quoted, parts[0].setting)
         constants[target] = pair
         yield pair
 
@@ -171,7 +219,10 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, float, str]]:
         return []
     found = []
     for p in lex(text):
-        name, value, start, end = name_score(p.target), p.literal, p.start, p.end
+        name = name_score(p.target)
+        if not name and not p.key and not _MAY_BE_KNOWN.match(p.head):
+            continue
+        value, start, end = p.literal, p.start, p.end
         if u := _IN_URL.match(value):
             value, start, end, name = u["pass"], p.start + u.start("pass"), p.start + u.end("pass"), max(name, 0.9)
         looks = literal_score(value)

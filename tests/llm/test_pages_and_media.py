@@ -6,6 +6,7 @@ import random
 import struct
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -286,6 +287,77 @@ def test_secrets_defined_cases(spark):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def written(rng):
+    """Lines of several syntaxes, and the (target, value, through) that each must give; through in order of use."""
+    names, known, lines, want = [f"n{i}" for i in range(8)], {}, [], []
+    value = lambda: "".join(rng.choice("abcXYZ0189_") for _ in range(rng.randint(3, 12)))
+
+    def seen(parts):
+        out = []
+        for p in parts:
+            if p in known:
+                out += [*known[p][1], p]
+        return tuple(dict.fromkeys(out))
+
+    for _ in range(rng.randint(5, 40)):
+        name, kind = rng.choice(names), rng.choice(["quoted", "json", "env", "tag", "joined", "joined", "expanded", "prose"])
+        if kind == "prose":
+            lines.append(rng.choice(["some words here", "if a == b then", "see http here", "<br>", ""]))
+            continue
+        v, through = value(), ()
+        if kind == "quoted":
+            lines.append(f"{name} = {rng.choice(['\"', chr(39)])}{v}\"".replace(chr(39) + v + '"', chr(39) + v + chr(39)))
+        if kind == "json":
+            lines.append(f'  "{name}": "{v}",')
+        if kind == "env":
+            lines.append(f"export {name}={v}")
+        if kind == "tag":
+            lines.append(f"<{name}>{v}</{name}>")
+        if kind == "joined":
+            from_quotes = [n for n in known if known[n][2]]
+            parts = [rng.choice(from_quotes) if from_quotes and rng.random() < 0.6 else f"'{value()}'" for _ in range(rng.randint(1, 3))]
+            lines.append(f"{name} = " + " + ".join(parts))
+            v, through = "".join(known[p][0] if p in known else p[1:-1] for p in parts), seen(parts)
+        if kind == "expanded":
+            parts = [rng.choice([*known]) if known and rng.random() < 0.5 else value() for _ in range(rng.randint(1, 3))]
+            lines.append(f'{name} = "' + "-".join("${" + p + "}" if p in known else p for p in parts) + '"')
+            v, through = "-".join(known[p][0] if p in known else p for p in parts), seen(parts)
+        known[name] = (v, through, kind not in ("env", "tag"))
+        want.append((name, v, through))
+    return "\n".join(lines), want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pairs_are_those_that_were_written(seed):
+    text, want = written(random.Random(seed))
+    got = [(p.target, p.literal, p.through) for p in secret_scan.lex(text)]
+    assert [(t, v, set(x)) for t, v, x in got] == [(t, v, set(x)) for t, v, x in want]
+
+
+def test_the_query_equals_a_scan_of_each_text(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, written(rng)[0] + "\n" + rng.choice(PLANTED)[0] + "\n" + rng.choice(CLEAN)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(map(tuple, secret_scan.query(spark, str(tmp_path)).collect()))
+    want = Counter((i, *f) for i, t in rows for f in secret_scan.scan(t))
+    assert got == want and len({i for i, *_ in got}) == 60
+
+
+def test_constants_that_double_and_long_chains():
+    done = under_limit("""
+from quarry.llm import secret_scan
+s = "a0 = 'x9y8z7w6'\\n" + "".join(f"a{i} = a{i-1} + a{i-1}\\n" for i in range(1, 60)) + "password = a59\\n"
+print([(f[0], f[2]) for f in secret_scan.scan(s)])
+s = "a0='x9y8z7w6'\\n" + "".join(f"a{i}=\\"$a{i-1}$a{i-1}\\"\\n" for i in range(1, 60)) + "password=$a59\\n"
+print([(f[0], f[2]) for f in secret_scan.scan(s)])
+s = "a0 = 'x9y8z7w6'\\n" + "".join(f"a{i} = a{i-1} + 'b{i}'\\n" for i in range(1, 30_000)) + "password = a29999\\n"
+print([(f[0], f[5].count(">")) for f in secret_scan.scan(s)])
+for s in ("<a>x" * 50_000, "a.b." * 30_000, "abc" * 300_000, "x = y " * 30_000, '"abc ' * 50_000):
+    secret_scan.scan(s + "=")
+""")
+    assert done.stdout.split("\n")[:3] == ["[('password', 8)]", "[('password', 8)]", "[('password', 64)]"], done.stdout + done.stderr[-500:]
+
+
 # -- chat
 
 
