@@ -13,9 +13,11 @@ training, landmarks are hidden in half of the pages, so that the words and the n
 Defined cases
 * null or empty html: a row with no blocks and an empty text. Null page_id: kept.
 * not HTML at all: one block, labelled like any other. Unclosed tags, comments, scripts: as browsers do, roughly.
-* repeated rows: one row each. Very long pages: whole, every block is labelled.
+* repeated rows: one row each. Very long pages: whole, every block is labelled from the whole page.
+* elements more than DEEPEST levels deep: siblings at that level, as in browsers. Paths are whole otherwise.
 * no pages, or none with landmarks to learn from: an untrained model calls every block content.
-* extra columns: ignored.
+* ties: a block with a chance of exactly 0.5 is content.
+* extra columns: ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +35,15 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-#: Pages that the model is fitted on, at most (those with the smallest hash), and the longest of them, in blocks.
-MAX_PAGES, MAX_TRAIN_BLOCKS = 500, 300
+#: The model is fitted on so many different pages with landmarks at most, those with the smallest hash, and so many characters of them that come to the driver (the first page always does).
+MAX_PAGES, MAX_CHARS = 500, 64 << 20
+#: Training pages are cut into sequences of so many blocks, all of which are used.
+SEQUENCE = 300
+#: Blocks of a batch of pages with their padding, words and path elements of a batch, steps of the network whose inputs are made at once.
+CELLS, WORDS, STEPS = 1 << 15, 1 << 20, 1024
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 1024, 4096, 12, 12, 6, 16
-DEPTH = 8  # the innermost tags of a path
+DEPTH = 8  # the innermost tags of a path are told apart by their place; those further out by being there
+DEEPEST = 512
 SCHEMA = "page_id long, text string, blocks int, content_blocks int"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<![^>]*>|([^<]+|<)", re.S | re.I)
@@ -48,6 +55,9 @@ _GOOD = {"article", "main"}
 _BAD = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 _BAD_CLASS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|nav\w*|menu|sidebar|footer|header|promo\w*|cookies?|share|social|comments?|breadcrumbs?|related|sponsor\w*)(?:$|[\s_-])", re.I)
 _WORDS = re.compile(r"\w+")
+#: What a page needs for blocks of both labels; may hold by chance, and is tested again by the labels themselves.
+HAS_GOOD = r"(?i)<(?:article|main)\b"
+HAS_BAD = r"(?i)<(?:nav|header|footer|aside|form|menu|dialog)\b|(?:class|id|role)\s*=[^>]*(?:ad|banner|nav|menu|sidebar|footer|header|promo|cookie|share|social|comment|breadcrumb|related|sponsor)"
 
 
 @dataclass
@@ -68,7 +78,7 @@ def split_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
-            out.append(Block(text, tuple(s[1] for s in stack if s[0] not in _INLINE)[-DEPTH:], min(1.0, linked / max(1, len(text))), stack[-1][2] if stack else -1))
+            out.append(Block(text, tuple(s[1] for s in stack if s[0] not in _INLINE), min(1.0, linked / max(1, len(text))), stack[-1][2] if stack else -1))
         buffer.clear()
         linked = 0
 
@@ -108,6 +118,8 @@ def split_blocks(page: str | None) -> list[Block]:
             label = 0
         elif tag in _GOOD:
             label = 1
+        if len(stack) >= DEEPEST:
+            links -= stack.pop()[0] == "a"
         stack.append((tag, f"{tag}.{classes}" if classes else tag, label))
         links += tag == "a"
     flush()
@@ -138,14 +150,14 @@ class Features:
     sizes: np.ndarray  # blocks of each page
 
 
-def features(pages: list[list[Block]], words: _Hashes, paths: _Hashes, hidden: set[int] = frozenset()) -> Features:
-    """hidden: pages whose landmark elements are left out of the paths."""
+def features(pages: list[list[Block]], words: _Hashes, paths: _Hashes, hidden: set[int] = frozenset(), part_of: list[tuple[int, int]] | None = None) -> Features:
+    """hidden: pages whose landmark elements are left out of the paths. part_of: where each list begins in its page, and the page's blocks."""
     path, path_n, word, word_n, numbers = [], [], [], [], []
     for k, blocks in enumerate(pages):
-        n = len(blocks)
-        for i, b in enumerate(blocks):
+        first, n = part_of[k] if part_of else (0, len(blocks))
+        for i, b in enumerate(blocks, first):
             p = [e for e in b.path if k not in hidden or not (e.partition(".")[0] in _GOOD | _BAD or _BAD_CLASS.search(e.partition(".")[2]))]
-            path += [paths[f"{d}{e}"] for d, e in enumerate(reversed(p))]
+            path += [paths[f"{min(d, DEPTH)}{e}"] for d, e in enumerate(reversed(p))]
             path_n.append(len(p))
             w = _WORDS.findall(b.text.lower())
             word += map(words.__getitem__, w)
@@ -173,10 +185,10 @@ def _lstm(x: np.ndarray, w: np.ndarray, keep: bool = False):
     """x: (time, page, features); returns the hidden states, and what backward() needs."""
     t, b, d = x.shape
     h, c, out, memo = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32), np.zeros((t, b, HIDDEN), np.float32), []
-    drive = x.reshape(t * b, d) @ w[:d] + w[-1]
-    drive = drive.reshape(t, b, 4 * HIDDEN)
     for k in range(t):
-        g = drive[k] + h @ w[d : d + HIDDEN]
+        if k % STEPS == 0:
+            drive = (x[k : k + STEPS].reshape(-1, d) @ w[:d] + w[-1]).reshape(-1, b, 4 * HIDDEN)
+        g = drive[k % STEPS] + h @ w[d : d + HIDDEN]
         s = _sigmoid(g[:, : 3 * HIDDEN])
         i, f, o, a = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(g[:, 3 * HIDDEN :])
         before = (h, c)
@@ -242,26 +254,37 @@ class Labeller:
         h = np.concatenate([hr[time, page], hl[back, page], np.ones((len(x), 1), np.float32)], 1)
         return h, (x, xr, xl, mr, ml, page, time, back)
 
-    def label(self, pages: list[list[Block]], words: _Hashes, paths: _Hashes, batch: int = 256) -> list[np.ndarray]:
-        """The chance that a block is content, for every block of every page."""
+    def label(self, pages: list[list[Block]], words: _Hashes, paths: _Hashes) -> list[np.ndarray]:
+        """The chance that a block is content, for every block of every page. Pages of like length are run together."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         if not self.trained:
             return [np.ones(len(p), np.float32) for p in pages]
-        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), batch):
-            some = order[lo : lo + batch]
-            f = features([pages[i] for i in some], words, paths)
-            h, _ = self._run(f)
-            chance = _sigmoid(h @ self.p["out"])
-            for i, c in zip(some, np.split(chance, np.cumsum(f.sizes)[:-1])):
-                out[i] = c
+        some: list[int] = []
+        size = 0
+        for i in sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i])):
+            own = sum(len(b.path) + len(b.text) // 5 for b in pages[i])
+            if some and ((len(some) + 1) * len(pages[i]) > CELLS or size + own > WORDS):
+                self._label(some, pages, words, paths, out)
+                some, size = [], 0
+            some.append(i)
+            size += own
+        if some:
+            self._label(some, pages, words, paths, out)
         return out
 
+    def _label(self, some: list[int], pages: list[list[Block]], words: _Hashes, paths: _Hashes, out: list[np.ndarray]) -> None:
+        f = features([pages[i] for i in some], words, paths)
+        h, _ = self._run(f)
+        for i, c in zip(some, np.split(_sigmoid(h @ self.p["out"]), np.cumsum(f.sizes)[:-1])):
+            out[i] = c
+
     def fit(self, pages: list[list[Block]], steps: int = 150, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Labeller:
         """Adam on the logistic loss of the blocks with a label, in whole epochs, for this number of steps at least."""
-        pages = [p[:MAX_TRAIN_BLOCKS] for p in pages if {b.label for b in p} >= {0, 1}]
-        if not pages:
+        parts = [(p[lo : lo + SEQUENCE], (lo, len(p))) for p in pages if {b.label for b in p} >= {0, 1} for lo in range(0, len(p), SEQUENCE)]
+        parts = [x for x in parts if any(b.label >= 0 for b in x[0])]
+        if not parts:
             return self
+        pages, part_of = [p for p, _ in parts], [at for _, at in parts]
         rng, words, paths = np.random.default_rng(seed), _Hashes(WORD_BUCKETS), _Hashes(PATH_BUCKETS)
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
@@ -269,7 +292,7 @@ class Labeller:
         for _ in range(-(-steps // len(batches))):
             for k in rng.permutation(len(batches)):
                 some = [pages[i] for i in batches[k]]
-                f = features(some, words, paths, {i for i in range(len(some)) if rng.random() < 0.5})
+                f = features(some, words, paths, {i for i in range(len(some)) if rng.random() < 0.5}, [part_of[i] for i in batches[k]])
                 y = np.array([b.label for p in some for b in p])
                 h, (x, xr, xl, mr, ml, page, time, back) = self._run(f, keep=True)
                 known = y >= 0
@@ -294,18 +317,28 @@ class Labeller:
         return self
 
 
-def fit(pages: DataFrame, max_pages: int = MAX_PAGES, **options) -> Labeller:
-    """Fit on at most max_pages pages, those with the smallest hash of page_id and html."""
-    some = pages.where("html is not null").select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(max_pages).collect()
-    return Labeller().fit([split_blocks(r.html) for r in sorted(some, key=lambda r: r.h)], **options)
+def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS, **options) -> Labeller:
+    """Fit on at most max_pages different pages with landmarks, and max_chars of them. Hashes and lengths are looked at first, then the html of those pages alone is brought to the driver."""
+    told = pages.where(F.col("html").rlike(HAS_GOOD) & F.col("html").rlike(HAS_BAD)).select("html", F.xxhash64("html").alias("h"))
+    first = told.groupBy("h").agg(F.max(F.length("html")).alias("n")).orderBy("h").limit(max_pages).collect()
+    chosen, chars = [], 0
+    for r in first:
+        chars += r.n
+        if chosen and chars > max_chars:
+            break
+        chosen.append(r.h)
+    if not chosen:
+        return Labeller()
+    rows = told.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return Labeller().fit([split_blocks(r.html) for r in sorted(rows, key=lambda r: r.h)], **options)
 
 
 def _extractor(model: Labeller):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, paths = _Hashes(WORD_BUCKETS), _Hashes(PATH_BUCKETS)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 pages = [split_blocks(h.as_py()) for h in part.column(1)]
                 chances = model.label(pages, words, paths)
                 text = ["\n".join(x.text for x, c in zip(p, cs) if c >= 0.5) for p, cs in zip(pages, chances)]

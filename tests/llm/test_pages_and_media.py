@@ -1,11 +1,14 @@
 """HTML labeller, JPEG reader, secret scan, chat formatting."""
 
 import hashlib
+import math
 import os
 import random
+import re
 import struct
 import subprocess
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -86,6 +89,77 @@ def test_html_defined_cases(spark):
     assert html_blocks.extract(pages, html_blocks.fit(pages.limit(0))).where("page_id = 102").first().text == "no html"
 
 
+def plain_chances(model, page):
+    """The chance of each block, step by step in plain Python."""
+    p = {k: v.astype(float).tolist() for k, v in model.p.items()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    mean = lambda table, at: [sum(table[i][d] for i in at) / max(1, len(at)) for d in range(len(table[0]))]
+    x = []
+    for i, b in enumerate(page):
+        path = [zlib.crc32(f"{min(d, html_blocks.DEPTH)}{e}".encode()) % html_blocks.PATH_BUCKETS for d, e in enumerate(reversed(b.path))]
+        words = re.findall(r"\w+", b.text.lower())
+        numbers = [min(2.0, math.log1p(len(words)) / 4), b.linked, float(b.text[-1] in ".!?:;\"'"), i / len(page), min(1.0, len(page) / 100), min(1.0, b.text.count(",") / 10)]
+        x.append(mean(p["path"], path) + mean(p["word"], [zlib.crc32(w.encode()) % html_blocks.WORD_BUCKETS for w in words]) + numbers)
+
+    def run(w, inputs):
+        n = html_blocks.HIDDEN
+        h, c, out = [0.0] * n, [0.0] * n, []
+        for v in inputs:
+            full = v + h + [1.0]
+            g = [sum(full[r] * w[r][k] for r in range(len(full))) for k in range(4 * n)]
+            c = [sig(g[n + k]) * c[k] + sig(g[k]) * math.tanh(g[3 * n + k]) for k in range(n)]
+            h = [sig(g[2 * n + k]) * math.tanh(c[k]) for k in range(n)]
+            out.append(h)
+        return out
+
+    right, left = run(p["right"], x), run(p["left"], x[::-1])[::-1]
+    return [sig(sum(a * b for a, b in zip(r + q + [1.0], p["out"]))) for r, q in zip(right, left)]
+
+
+def test_query_equals_the_network_step_by_step(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(html_blocks, "STEPS", 4)
+    rng = random.Random(14)
+    rows = [(i, "u", page(rng)) for i in range(60)] + [(60, "u", "<main>" + "<div>" * 30 + page(rng) + "</div>" * 30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    model = html_blocks.fit(pages)
+    got = {r.page_id: r for r in html_blocks.query(spark, str(tmp_path)).collect()}
+    assert len(got) == 61
+    for i, _, html in rows[:6] + rows[-1:]:
+        blocks = html_blocks.split_blocks(html)
+        chances = plain_chances(model, blocks)
+        assert all(abs(c - 0.5) > 1e-3 for c in chances)
+        assert got[i].text == "\n".join(b.text for b, c in zip(blocks, chances) if c >= 0.5) and got[i].blocks == len(blocks)
+
+
+def test_outer_tags_and_page_ends_count(spark):
+    deep = html_blocks.split_blocks("<main>" + "<div>" * 20 + "text")[0]
+    assert deep.path[0] == "main" and len(deep.path) == 21
+    assert len(html_blocks.split_blocks("<div>" * 5000 + "text" + "<p>x")[0].path) == html_blocks.DEEPEST
+    rng = random.Random(15)
+    say = lambda n: " ".join(rng.choice(["badan", "kefer", "logol", "mihin"]) for _ in range(n))
+    made = ["<article>" + "".join(f"<p>{say(20)}." for _ in range(400)) + "</article><footer>" + "".join(f"<p>{say(3)}" for _ in range(8)) + "</footer>" for _ in range(12)]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(made + ["<p>no landmarks"] * 50)], "page_id long, html string")
+    model = html_blocks.fit(df, max_pages=8)
+    got = {r.page_id: r for r in html_blocks.extract(df.where("page_id < 12"), model).collect()}
+    assert all(abs(r.content_blocks - 400) <= 4 and r.blocks == 408 for r in got.values())
+    assert html_blocks.fit(df, max_pages=8, max_chars=1).trained
+
+
+def test_one_long_page_among_short_ones_stays_small():
+    done = under_limit("""
+import random, resource
+from quarry.llm import html_blocks as h
+pages = [h.split_blocks("<nav><li>home</nav><article><p>some words here.</article>") for _ in range(255)]
+model = h.Labeller().fit(pages[:20], steps=5)
+pages.append(h.split_blocks("<article>" + "<p>some words here." * 60_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = model.label(pages, h._Hashes(h.WORD_BUCKETS), h._Hashes(h.PATH_BUCKETS))
+print(len(out[-1]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000)
+""")
+    assert done.stdout.strip() == "60000 True", done.stdout + done.stderr[-500:]
+
+
 # -- jpeg
 
 
