@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import forget, parts_of, read_table, small_side, stored, unused
+from .common import forget, lean, parts_of, read_table, small_side, stored, unused
 
 WORD = re.compile(r"\w+")
 SHINGLE, K = 3, 64
@@ -217,7 +217,7 @@ def _verified(likely: DataFrame, names: DataFrame, docs: DataFrame, threshold: f
     """The pairs (a, b) whose shingle sets reach the threshold, with their similarity. names: row, doc_id, text_key."""
     ids = stored(likely.select(F.col("a").alias("row")).union(likely.select("b")).distinct().join(names, "row"), "ids")
     mine = _texts(docs).join(small_side(ids, 32), ["doc_id", "text_key"]).select("row", "text")
-    sets = stored(mine.mapInArrow(_shingle_sets, "row long, shingles binary"), "sets")
+    sets = stored(mine.mapInArrow(lean(_shingle_sets), "row long, shingles binary"), "sets")
     out = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", _exact("xa", "xb").alias("jaccard"))
     out = stored(out.where(F.col("jaccard") >= threshold), "pairs")
     forget(ids, sets)
@@ -274,7 +274,7 @@ def _across(listed: DataFrame, near: DataFrame, sketches: DataFrame, threshold:
 def groups(docs: DataFrame, threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> DataFrame:
     """doc_id, text_key (of each document in a group of two or more), kept_id, kept_key (of the one that stays). Stored."""
     texts = _texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text")  # fixed once it's stored
-    sketches = stored(texts.mapInArrow(_sketches, "row long, doc_id long, text_key long, hi long, lo long, n int, sketch array<long>"), "sketches")
+    sketches = stored(texts.mapInArrow(lean(_sketches), "row long, doc_id long, text_key long, hi long, lo long, n int, sketch array<long>"), "sketches")
     names = sketches.select("row", "doc_id", "text_key")
     copies = sketches.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
     same = sketches.select("row", "hi", "lo").join(copies, ["hi", "lo"]).where("row <> first.row").select("row", F.col("first.row").alias("first"))

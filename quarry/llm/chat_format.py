@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean, read_table
 
 Turn = dict[str, str]
 Template = Callable[[list[Turn]], str]
@@ -173,7 +173,7 @@ def format_chats(conversations: DataFrame, templates: dict[str, Template] | None
     """One row per conversation, template and turn; the pieces of a template that keeps history, joined by place, are the whole text (but for a trailer)."""
     told = F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(told)).alias("told"))
-    return whole.select(F.col("conv_id").cast("long"), "told").mapInArrow(_renderer(templates or TEMPLATES), SCHEMA)
+    return whole.select(F.col("conv_id").cast("long"), "told").mapInArrow(lean(_renderer(templates or TEMPLATES)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,22 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """function for mapInArrow, after which a Python worker gives the memory that it no longer uses back to the system: workers are kept for later tasks, beside the executor's own memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def parts_of(text: str) -> Iterator[str]:
     """The text in parts of about PART_CHARS characters that cut no word, so that the words of a very long text need not all be in memory."""
     at = 0

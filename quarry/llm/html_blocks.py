@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean, read_table
 
 #: The model is fitted on so many different pages with landmarks at most, those with the smallest hash, and so many characters of them that come to the driver (the first page always does).
 MAX_PAGES, MAX_CHARS = 500, 64 << 20
@@ -349,7 +349,7 @@ def _extractor(model: Labeller):
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, text, blocks, content_blocks of every page."""
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_extractor(model), SCHEMA)
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(lean(_extractor(model)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

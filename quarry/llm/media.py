@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean, read_table
 
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 SCHEMA = "vec_id long, width int, height int, components int, thumb_width int, thumb_height int, thumbnail binary, difference_hash long, digest string, error string"
@@ -393,12 +393,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pictures(embeddings: DataFrame) -> DataFrame:
     """(vec_id, media): a JPEG for each embedding."""
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_draw, "vec_id long, media binary")
+    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lean(_draw), "vec_id long, media binary")
 
 
 def media_columns(media: DataFrame) -> DataFrame:
     """The stored columns of a table (vec_id, media)."""
-    return media.select("vec_id", "media").mapInArrow(_describe, SCHEMA)
+    return media.select("vec_id", "media").mapInArrow(lean(_describe), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

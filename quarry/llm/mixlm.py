@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean, read_table
 
 SHARD, BLOCK, BLOCK_MOST = 16 << 20, 1 << 12, 1 << 22
 BITS = (8, 16, 18, 19, 20, 19)  # size of each context's table; the last is the word
@@ -260,7 +260,7 @@ def _sum_chunks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def gather(docs: DataFrame) -> np.ndarray:
     """The counts of all documents: a table of each split, summed FAN_IN at a time, then brought to the driver (its size is fixed)."""
-    parts = docs.select("text").mapInArrow(_tables, "chunk int, counts binary").withColumn("part", F.spark_partition_id())
+    parts = docs.select("text").mapInArrow(lean(_tables), "chunk int, counts binary").withColumn("part", F.spark_partition_id())
     n = max(1, docs.select("text").rdd.getNumPartitions())
     while True:
         n = -(-n // FAN_IN)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, parts_of, read_table, small_side, stored, unused
+from .common import forget, lean, parts_of, read_table, small_side, stored, unused
 
 WORD = re.compile(r"\w+")
 WINDOW, NEAR, SLOP, SHORTEST = 13, 11, 2, 5
@@ -144,7 +144,7 @@ def _indexer(segment: int, gap: int, piece: int, overlap: int):
 def build_index(docs: DataFrame, segment: int = SEGMENT, gap: int = GAP, piece: int = PIECE, overlap: int = WINDOW + 2 * SLOP + 4) -> DataFrame:
     """The stored index of all documents: one row per segment. Delete it with common.forget()."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("k"), "text").where("text is not null")
-    return stored(rows.mapInArrow(_indexer(segment, gap, piece, overlap), INDEX), "positions")
+    return stored(rows.mapInArrow(lean(_indexer(segment, gap, piece, overlap)), INDEX), "positions")
 
 
 def test_terms(items: list[tuple[int, str]], window: int = WINDOW, shortest: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -323,12 +323,12 @@ def matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near: int =
     tests = tests.select("item_id", "text").where("item_id is not null and text is not null")
     chars = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slices = -(-chars // test_chars) or 1
-    out = docs.sparkSession.createDataFrame([], FOUND)
+    out = docs.sparkSession.range(0).select(*[F.lit(None).cast(kind.replace("long", "bigint")).alias(name) for name, kind in map(str.split, FOUND.split(", "))])
     for s in range(slices):
         rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).collect()
         flat, owner, at, sizes = test_terms([(r.item_id, r.text) for r in rows], window, shortest)
         if len(owner):
-            out = out.unionByName(index.mapInArrow(_matcher(owner, flat, at, sizes, window, window - near, slop), FOUND))
+            out = out.unionByName(index.mapInArrow(lean(_matcher(owner, flat, at, sizes, window, window - near, slop)), FOUND))
     found = stored(out, "found")
     forget(index)
     keys = ["doc_id", "text_key", "item_id"]

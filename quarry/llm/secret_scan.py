@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean, read_table
 
 LEAST_SCORE = 0.5
 #: Characters of a joined value that are written out to be scored, and constants of its history that are named.
@@ -246,7 +246,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per secret. Texts without a sign of assignment can't hold a pair, so they don't leave the JVM."""
     may = F.col("text").contains("=") | F.col("text").contains(":") | F.col("text").contains("</")
-    return docs.select("doc_id", "text").where(may).mapInArrow(_scan, SCHEMA)
+    return docs.select("doc_id", "text").where(may).mapInArrow(lean(_scan), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_file_order, new_path, read_table
+from .common import in_file_order, lean, new_path, read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is cut before the merges of that vocabulary apply.
@@ -76,7 +76,7 @@ def _encoder(path: str):
 
 
 def tokenise(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_encoder(path), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(_encoder(path)), SCHEMA)
 
 
 def write(docs: DataFrame, out: str, path: str = VOCABULARY, by_id: bool = True) -> str:
