@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import forget, lean, parts_of, read_table, small_side, stored, unused
+from .common import distinct, forget, lean, parts_of, read_table, small_side, stored, unused
 
 WORD = re.compile(r"\w+")
 SHINGLE, K = 3, 64
@@ -88,7 +88,7 @@ def shingles(w: np.ndarray) -> np.ndarray:
     for i in range(SHINGLE):
         part = w[i : i + n]
         h[: len(part)] = h[: len(part)] * _M1 + (part ^ (part >> np.uint64(31))) * _M2
-    return np.unique(_mix(h))
+    return distinct(_mix(h))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -45,7 +45,7 @@ def test_quality_held_out_accuracy():
     right = [(model.score(t) >= model.threshold) == good for t, good in fresh]
     assert np.mean(right) > 0.97
     assert model.holdout_accuracy > 0.97
-    assert "vilest" in model.words
+    assert quality.term("vilest") in model.terms
 
 
 def test_quality_learns_only_from_differences():
@@ -71,12 +71,67 @@ def test_quality_defined_cases(spark):
     assert quality.keep(docs, none).count() == docs.count() - 3
 
 
+def plain_score(model, text):
+    """The score of one text, in plain Python."""
+    raw = text.encode()
+    kind = [sum(quality._CLASS[b] == k for b in raw) / max(1, len(raw)) for k in range(8)]
+    words = re.findall(rb"[A-Za-z0-9_\x80-\xff]+", text.lower().encode())
+    lines, kinds, n = text.split("\n"), set(words), max(1, len(words))
+    lines = lines[:-1] if lines[-1] == "" else lines
+    x = [
+        min(1, 4 * kind[2]), min(1, 8 * kind[3]), min(1, 20 * kind[5]), min(1, 10 * kind[6]), min(1, 8 * kind[7]), kind[0], len(kinds) / n if n > 20 else 1,
+        1 - len(set(lines)) / len(lines) if lines else 0, min(2, sum(map(len, words)) / n / 8), n < 20, min(1, n / 4000),
+    ]
+    terms = {quality.term(w.decode()) for w in kinds} | {quality.term(w[:k].decode(), True) for w in kinds for k in quality.BEGINNINGS if len(w) >= k and w.isascii()}
+    at = {int(t): i for i, t in enumerate(model.terms)}
+    return sum(a * b for a, b in zip(x, model.weights)) + sum(model.weights[len(quality.SHAPE) + at[t]] for t in terms if t in at)
+
+
+def test_scores_equal_plain_python(monkeypatch):
+    rng = random.Random(17)
+    model = quality.fit_rows(labelled(rng, 400))
+    texts = [t for t, _ in labelled(rng, 60)] + ["one", "A b C, d.\n\nA b C, d.\nend", "$$$ ### 123", prose(rng, 3000), "Ünïcode wörds " * 9]
+    want = [plain_score(model, t) for t in texts]
+    assert np.allclose(model.scores(texts), want)
+    monkeypatch.setattr(quality, "CHUNK", 50)
+    assert np.allclose(model.scores(texts), want)
+
+
+def test_pairwise_loss_falls_to_that_of_plain_descent():
+    rng = np.random.default_rng(18)
+    good = np.arange(80) % 2 == 0
+    x = rng.normal(size=(80, 3)).astype(np.float32)
+    x[:, 0] += good * 1.5
+    loss = lambda w: np.mean([np.log1p(np.exp(-(x[i] - x[j]) @ w)) for i in np.flatnonzero(good) for j in np.flatnonzero(~good)])
+    w = np.zeros(3)
+    for _ in range(400):  # the gradient over all pairs
+        g = np.zeros(3)
+        for i in np.flatnonzero(good):
+            d = x[i] - x[~good]
+            g -= (d / (1 + np.exp(d @ w))[:, None]).sum(0) / (good.sum() * (~good).sum())
+        w -= 0.5 * g
+    assert loss(quality._bradley_terry(x, good, 3000, 1)) < loss(w) + 0.01
+
+
+def test_the_query_keeps_what_scores_at_the_threshold(spark, tmp_path):
+    rng = random.Random(19)
+    rows = labelled(rng, 240)
+    docs_of(spark, [(i, t) for i, (t, _) in enumerate(rows)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(g), 0) for i, (_, g) in enumerate(rows[:200])], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.query(spark, str(tmp_path)).collect()}
+    want = {i: plain_score(model, t) for i, (t, _) in enumerate(rows)}
+    want = {i: v for i, v in want.items() if v >= model.threshold}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in got) and len(got) > 80
+
+
 def test_quality_sample_is_bounded(spark):
     rng = random.Random(3)
     rows = labelled(rng, 80)
     docs = docs_of(spark, [(i, t) for i, (t, _) in enumerate(rows)])
     labels = spark.createDataFrame([(i, int(g), 0) for i, (_, g) in enumerate(rows)], "doc_id long, quality int, toxic int")
     assert isinstance(quality.fit(docs, labels, max_labelled=40), quality.Model)
+    assert isinstance(quality.fit(docs, labels, max_chars=500), quality.Model)
 
 
 # -- near-dedup
