@@ -4,8 +4,8 @@ Texts are tokenised whole with a public byte-level vocabulary (its path is a par
 decoded back to the exact text). The query's rows are sorted by doc_id within each file, so that stripes
 and row groups have narrow id ranges; the pipeline's stage keeps the order it is given, which is the
 training order. Ids and counts are integer columns, which ORC run-length encodes. A
-reader takes stripes in parallel, and skips those that the footers' minima and maxima or the Bloom
-filters rule out (see read_ids and stripes).
+reader takes stripes in parallel, and skips stripes and row groups that minima and maxima or the Bloom
+filters rule out (see read_ids, stripes and rows_read).
 
 Defined cases
 * null text: one row with 0 tokens and a null array; empty text: 0 tokens and an empty array.
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.orc as paorc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,21 +94,44 @@ def read_ids(spark: SparkSession, out: str, ids: list[int]) -> DataFrame:
     return read(spark, out).where(F.col("doc_id").isin(list(ids)))
 
 
-def stripes(spark: SparkSession, out: str) -> DataFrame:
-    """(file, stripe, rows): the units that can be read in parallel, from the footers alone. For files that this process can open."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.orc").load(out).select("path", "length")
-
-    def of(batches):
-        for b in batches:
-            rows = []
-            for p in b["path"]:
-                f = paorc.ORCFile(p.removeprefix("file:").replace("///", "/"))
-                rows += [(p, i, f.read_stripe(i, ["doc_id"]).num_rows) for i in range(f.nstripes)]
-            import pandas as pd
+def _reader(spark: SparkSession, file: str):
+    orc, fs = spark._jvm.org.apache.orc.OrcFile, spark._jvm.org.apache.hadoop.fs.Path(file)
+    return orc.createReader(fs, orc.readerOptions(spark._jsc.hadoopConfiguration()))
 
-            yield pd.DataFrame(rows, columns=["file", "stripe", "rows"])
 
-    return files.mapInPandas(of, "file string, stripe int, rows long")
+def stripes(spark: SparkSession, out: str) -> DataFrame:
+    """(file, stripe, begin, bytes, rows, low, high): the units that can be read in parallel, with the least and greatest doc_id, from the footers alone, through Hadoop's file system. One row a stripe; the driver opens the footers."""
+    rows = []
+    column = SCHEMA.split(", ").index("doc_id long") + 1
+    for file in sorted(spark.read.orc(out).inputFiles()):
+        r = _reader(spark, file)
+        of = list(r.getStripeStatistics())
+        for i, s in enumerate(r.getStripes()):
+            c = of[i].getColumnStatistics()[column]
+            known = c.getNumberOfValues() > 0
+            rows.append((file, i, s.getOffset(), s.getLength(), s.getNumberOfRows(), c.getMinimum() if known else None, c.getMaximum() if known else None))
+        r.close()
+    return spark.createDataFrame(rows, "file string, stripe int, begin long, bytes long, rows long, low long, high long")
+
+
+def rows_read(spark: SparkSession, file: str, ids: list[int] | None) -> int:
+    """Rows that the ORC reader hands over for documents in one file, after it has skipped stripes and row groups by minima, maxima and Bloom filters. It's a measure, not a way to read."""
+    r = _reader(spark, file)
+    options = r.options()
+    if ids:
+        leaf = spark._jvm.org.apache.hadoop.hive.ql.io.sarg
+        kind = getattr(spark._jvm, "org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf$Type").LONG
+        numbers = spark.sparkContext._gateway.new_array(spark._jvm.long, len(ids))
+        for k, i in enumerate(ids):
+            numbers[k] = i
+        values = spark._jvm.java.util.stream.LongStream.of(numbers).boxed().toArray()
+        options.searchArgument(getattr(leaf.SearchArgumentFactory.newBuilder().startAnd(), "in")("doc_id", kind, values).end().build(), None)
+    batch, rows, n = r.getSchema().createRowBatch(), r.rows(options), 0
+    while rows.nextBatch(batch):
+        n += batch.count()
+    rows.close()
+    r.close()
+    return n
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
