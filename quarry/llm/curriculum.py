@@ -3,7 +3,7 @@
 Every source has a weight schedule w_s(t), piecewise linear over training time t in [0, 1]; at each
 knot the weights are normalised to 1 over the sources. Its integral times the token budget is the
 cumulative demand D_s(t). The documents of a source stand in a fixed pseudo-random order (md5 of
-doc_id); the one that begins after c tokens of its source is due when D_s(t) = c, which is its
+doc_id and text); the one that begins after c tokens of its source is due when D_s(t) = c, which is its
 training position t. Documents are range-sorted by position. Because the weights add up to 1, the
 positions are uniform in tokens, so equal ranges of t hold equal work and need no sampling.
 
@@ -15,8 +15,9 @@ A token here is what stands between single white-space characters (countable in
 
 Defined cases
 * null or empty text, hence no tokens: takes no training time, left out.
-* null source: the source ''. Null doc_id: ordered as ''. Other nulls and extra columns: passed through.
-* repeated rows: each is a document of its own; the order among equal rows cannot be told apart.
+* null source: the source ''. Null doc_id: ordered by its text. Other nulls and extra columns: passed through.
+* repeated rows, also of one doc_id: each is a document of its own; the order among rows with equal id and text cannot be told apart.
+* very long texts: whole; one document takes as much training time as it has tokens. Equal positions: in order of the copy, then of the md5.
 * an empty table, or one without tokens: no rows.
 * a source with weight 0 throughout is left out; where a weight is 0 over an interval, demand is flat
   there and a document that is due within it comes at its end.
@@ -24,6 +25,8 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,8 +34,8 @@ from pyspark.sql.window import Window
 from .common import read_table, small_side, stored, unused
 
 ALPHA = 0.8
-#: The first hex digits of the md5 order: documents are summed within these ranges, and the ranges' sums within a source.
-RANGE_DIGITS = 3
+#: Documents are summed within ranges of the md5 order, and the ranges' sums within a source. A range has so many tokens at most, on average; first sums are for so many hex digits.
+RANGE_TOKENS, DIGITS = 1 << 20, 3
 
 
 def tokens(text: Column) -> Column:
@@ -74,28 +77,35 @@ def position(start: Column, budget: Column, pieces: Column) -> Column:
 
 
 def place(docs: DataFrame, schedule: DataFrame | None = None, budget: float | None = None, alpha: float = ALPHA, carry: bool = True) -> tuple[DataFrame, list[str]]:
-    """The documents, one row per copy, with four more columns, whose names come back too: source, tokens, copy, position.
+    """The documents, one row per copy, with five more columns, whose names come back too: source, tokens, copy, position, md5.
 
-    carry=False keeps doc_id and those four only, so that texts aren't shuffled."""
+    carry=False keeps doc_id and those five only, so that texts aren't shuffled."""
     names = unused(docs, "mix_source", "mix_tokens", "mix_copy", "mix_position", "mix_order", "mix_range", "mix_start", "mix_copies", "mix_budget", "mix_pieces", "mix_supply", "mix_total", "mix_before")
     src, n, copy, pos, order, part, start, copies, bud, pieces, sup, total, prior = names
     rows = docs.withColumn(src, F.coalesce("source", F.lit(""))).withColumn(n, tokens(F.col("text"))).where(F.col(n) > 0)
-    rows = rows.withColumn(order, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(part, F.substring(order, 1, RANGE_DIGITS))
+    rows = rows.withColumn(order, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text").cast("binary")))
     if not carry:
-        rows = stored(rows.select("doc_id", src, n, order, part), "placed")
-    sums = stored(rows.groupBy(src, part).agg(F.sum(n).alias(total)), "ranges")
+        rows = stored(rows.select("doc_id", src, n, order), "placed")
+    sums = stored(rows.groupBy(src, F.substring(order, 1, DIGITS).alias(part)).agg(F.sum(n).alias(total)), "ranges")
+    largest = sums.groupBy(src).agg(F.sum(total).alias(total)).agg(F.max(total)).first()[0] or 1
+    digits = max(1, math.ceil(math.log(max(1, largest / RANGE_TOKENS), 16)))
+    rows = rows.withColumn(part, F.substring(order, 1, digits))
+    if digits > DIGITS:
+        sums = stored(rows.groupBy(src, part).agg(F.sum(n).alias(total)), "ranges")
+    else:
+        sums = sums.groupBy(src, F.substring(part, 1, digits).alias(part)).agg(F.sum(total).alias(total))
     supply = sums.groupBy(F.col(src).alias("source")).agg(F.sum(total).alias("supply"))
     wanted = demand(schedule if schedule is not None else natural_schedule(supply, alpha), supply, budget)
     wanted = stored(wanted.select(F.col("source").alias(src), F.col("supply").alias(sup), F.col("budget").alias(bud), F.col("total").alias(total), F.col("pieces").alias(pieces)), "demand")
     ranges = sums.withColumn(prior, F.sum(total).over(Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))).select(src, part, F.coalesce(prior, F.lit(0)).alias(prior))
-    within = Window.partitionBy(src, part).orderBy(F.col(order), F.col("doc_id"), F.col(n)).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(src, part).orderBy(F.col(order), F.col(n)).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(start, F.coalesce(F.sum(n).over(within), F.lit(0)))
     rows = rows.join(ranges, [src, part]).withColumn(start, F.col(start) + F.col(prior)).drop(prior)
     rows = rows.join(small_side(wanted, 600), src)
     rows = rows.withColumn(copies, F.ceil((F.col(total) - 0.5 - F.col(start)) / F.col(sup)).cast("int")).where(F.col(copies) > 0)
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
     rows = rows.withColumn(pos, position(F.col(start) + F.col(copy) * F.col(sup), F.col(bud), F.col(pieces)))
-    return rows.drop(order, part, start, copies, bud, pieces, sup, total), [src, n, copy, pos]
+    return rows.drop(part, start, copies, bud, pieces, sup, total), [src, n, copy, pos, order]
 
 
 def range_sorted(df: DataFrame, by: str, tie: list[str]) -> DataFrame:
@@ -107,17 +117,17 @@ def range_sorted(df: DataFrame, by: str, tie: list[str]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the training order: every use of a document, with its position."""
-    placed, (src, n, copy, pos) = place(read_table(spark, sf_dir, "documents"), carry=False)
+    placed, (src, n, copy, pos, _) = place(read_table(spark, sf_dir, "documents"), carry=False)
     placed = placed.select("doc_id", F.col(src).alias("source"), F.col(n).alias("tokens"), F.col(copy).alias("copy"), F.col(pos).alias("position"))
     return range_sorted(placed, "position", ["doc_id", "copy"]).withColumn("position", F.round("position", 6))
 
 
 SQL = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+  SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || text) AS o,
          length(text) - length(translate(text, ' ' || chr(10) || chr(9), '')) + 1 AS n
   FROM documents WHERE text IS NOT NULL AND text <> ''),
-c AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY o, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+c AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY o, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
 s AS (SELECT source, CAST(sum(n) AS BIGINT) AS supply FROM d GROUP BY source),
 f AS (SELECT *, supply / sum(supply) OVER () AS w0, pow(supply / sum(supply) OVER (), {ALPHA}) AS flat FROM s),
 g AS (SELECT *, flat / sum(flat) OVER () AS w1 FROM f),
@@ -133,5 +143,5 @@ FROM v"""
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed, (_, _, copy, pos) = place(docs)
-    return range_sorted(placed, pos, [copy]).select(*docs.columns)
+    placed, (_, _, copy, pos, order) = place(docs)
+    return range_sorted(placed, pos, [copy, order]).select(*docs.columns)

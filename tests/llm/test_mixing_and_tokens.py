@@ -29,7 +29,7 @@ def test_positions_solve_the_demand(spark):
     rows = some(random.Random(1))
     docs = docs_of(spark, rows)
     sched = spark.createDataFrame([(s, t, w) for s, ws in {"a": (8, 1, 1), "b": (1, 1, 6), "c": (1, 8, 3)}.items() for t, w in zip((0.0, 0.4, 1.0), ws)], "source string, t double, weight int").withColumn("weight", F.col("weight").cast("double"))
-    placed, (src, n, copy, pos) = curriculum.place(docs, sched, carry=False)
+    placed, (src, n, copy, pos, _) = curriculum.place(docs, sched, carry=False)
     out = placed.toPandas()
     knots = {s: np.array(w, float) for s, w in {"a": (8, 1, 1), "b": (1, 1, 6), "c": (1, 8, 3)}.items()}
     whole = sum(knots.values())
@@ -60,23 +60,24 @@ def test_budget_cuts_or_repeats(spark):
     docs = docs_of(spark, some(random.Random(2)))
     total = docs.select(F.sum(curriculum.tokens(F.col("text")))).first()[0]
     for factor in (0.3, 2.7):
-        placed, (_, n, copy, _) = curriculum.place(docs, budget=factor * total, carry=False)
+        placed, (_, n, copy, _, _) = curriculum.place(docs, budget=factor * total, carry=False)
         used = placed.agg(F.sum(n)).first()[0]
         assert abs(used / (factor * total) - 1) < 0.25
         assert (placed.agg(F.max(copy)).first()[0] > 0) == (factor > 1)
 
 
-def test_order_in_files_and_sql(spark, tmp_path):
-    docs = docs_of(spark, some(random.Random(3)))
+@pytest.mark.parametrize("most", [1 << 20, 300, 3])
+def test_order_in_files_and_sql(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(curriculum, "RANGE_TOKENS", most)  # 1, 2 and more hex digits than are summed at first
+    docs = docs_of(spark, some(random.Random(3)) + [(7, "same id, other text " * k, "a") for k in range(5)] + [(None, f"no id {k}", "a") for k in range(9)])
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = curriculum.query(spark, str(tmp_path)).toPandas()
     assert got.position.is_monotonic_increasing
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.execute(curriculum.SQL).df()
-    key = ["doc_id", "copy"]
-    a, b = got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True)
-    assert (a[list(b.columns)] == b).all().all()
+    rows = lambda t: sorted(map(str, t[sorted(t.columns)].astype({"doc_id": "Int64"}).itertuples(index=False)))
+    assert rows(got) == rows(want)
 
 
 def test_mixing_defined_cases(spark):
@@ -112,17 +113,33 @@ def test_tokens_round_trip_and_pruning(spark, tmp_path):
     assert token_store.read(spark, empty).count() == 0
 
 
-def test_orc_has_bloom_filters_and_small_row_groups(spark, tmp_path):
-    docs = docs_of(spark, [(i, f"text {i}", "s") for i in range(5000)]).coalesce(1)
+def test_stripes_and_row_groups_are_skipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(token_store.ORC, "orc.stripe.size", str(1 << 14))
+    rng = random.Random(21)
+    docs = docs_of(spark, [(i, " ".join(str(rng.random()) for _ in range(10)), "s") for i in range(30_000)]).coalesce(1)
     out = token_store.write(docs, str(tmp_path / "t"))
-    path = next((tmp_path / "t").glob("*.orc"))
+    (path,) = (tmp_path / "t").glob("*.orc")
     f = paorc.ORCFile(str(path))
-    assert f.row_index_stride == 1000 and f.nstripes >= 1
-    kinds = spark._jvm.org.apache.orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(path)), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
-    stripe = kinds.getStripes().get(0)
-    footer = kinds.rows().readStripeFooter(stripe) if hasattr(kinds.rows(), "readStripeFooter") else None
-    assert footer is None or "BLOOM_FILTER_UTF8" in str(footer)
-    assert out
+    told = token_store.stripes(spark, out).orderBy("stripe").collect()
+    assert f.row_index_stride == 1000 and f.nstripes > 2
+    assert [r.rows for r in told] == [f.read_stripe(i, ["doc_id"]).num_rows for i in range(f.nstripes)] and sum(r.rows for r in told) == 30_000
+    assert [(r.low, r.high) for r in told] == [(min(v), max(v)) for v in (f.read_stripe(i, ["doc_id"])["doc_id"].to_pylist() for i in range(f.nstripes))]
+    for ids in ([123], [123, 29_999], [40_000]):
+        assert sorted(r.doc_id for r in token_store.read_ids(spark, out, ids).collect()) == [i for i in ids if i < 30_000]
+    assert token_store.rows_read(spark, str(path), [123]) == 1000  # one row group of its stripe
+    assert token_store.rows_read(spark, str(path), [40_000]) == 0
+    assert token_store.rows_read(spark, str(path), None) == 30_000
+
+
+def test_bloom_filters_skip_what_minima_and_maxima_cannot(spark, tmp_path):
+    ids = list(range(0, 20_000, 2))
+    random.Random(22).shuffle(ids)
+    docs = docs_of(spark, [(i, f"text {i}", "s") for i in ids]).coalesce(1)
+    out = token_store.write(docs, str(tmp_path / "t"), by_id=False)
+    (path,) = (tmp_path / "t").glob("*.orc")
+    assert token_store.rows_read(spark, str(path), [ids[10]]) in (1000, 2000)
+    odd = [token_store.rows_read(spark, str(path), [i]) for i in range(1001, 2001, 20)]
+    assert sum(odd) < 0.2 * 10_000 * len(odd) and odd.count(0) > 30
 
 
 # -- language-model scores
