@@ -41,7 +41,8 @@ _FOOTER = re.compile(r".*\[\s*page\s+[\divxlcdm]+\s*\]\s*$", re.I)
 _RUNNING = re.compile(r"RFC\s+\d+\b.*\s{2,}\S")
 _DATED = re.compile(r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+(?:\d{1,2},?\s+)?\d{4}\s*$")
 _CREDIT = re.compile(r"machine.readable form|into the online \w+ archives", re.I)
-_MASTHEAD = re.compile(r"(?:Network Working Group|Internet Engineering Task Force|Independent Submission|Internet Architecture Board|Request for Comments)|(?m:^(?:Request for Comments|Category|ISSN|Obsoletes):)")
+_ISSUER = re.compile(r"(?:Network Working Group|Internet Engineering Task Force|Independent Submission|Internet Architecture Board|Request for Comments)")
+_FIELD = re.compile(r"^(?:Category|ISSN|Obsoletes|Request for Comments):", re.M)
 _BOILERPLATE = re.compile(r"distribution of this memo is unlimited|memo (?:provides information|does not specify)|copyright \(c\)|this memo defines an experimental|for the internet community", re.I)
 _END = re.compile(r"[.!?][\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9])")
 _SHORT = {"e.g.", "i.e.", "etc.", "cf.", "vs.", "fig.", "sec.", "no.", "vol.", "pp.", "ed.", "eds.", "et", "al.", "st.", "dr.", "mr.", "ms.", "mrs.", "prof.", "inc.", "corp.", "ltd.", "approx.", "dept.", "min.", "max.", "ref.", "refs.", "ch.", "app.", "eq.", "resp."}
@@ -336,6 +337,12 @@ def chunk_text(text: str, options: Options = Options(), single: bool = False) ->
     return _build(lines, found, indent, where, options, False) or _build(lines, [], indent, where, options, True)
 
 
+def masthead(text: str) -> bool:
+    """Is it front matter: does it begin with who issued it, have a field of the first page in any of its first lines, or begin with a dated running header?"""
+    head = text[:400]
+    return bool(_ISSUER.match(head) or _FIELD.search(head) or (_RUNNING.match(head) and _DATED.search(head.partition("\n")[0])))
+
+
 def _build(lines: list[Line], found: list, indent: int, where, o: Options, rescue: bool) -> list:
     parts = [(label, title, lines[i + 1 : found[k + 1][0] if k + 1 < len(found) else len(lines)]) for k, (i, label, title) in enumerate(found)] if found else [(None, None, lines)]
     out, under = [], None
@@ -350,7 +357,7 @@ def _build(lines: list[Line], found: list, indent: int, where, o: Options, rescu
                 continue
         pieces = [p for p in paragraphs(without_contents(body), indent) if not _CREDIT.search(p.text)]
         if title is None:
-            pieces = [p for p in pieces if not _MASTHEAD.match(p.text[:400])]
+            pieces = [p for p in pieces if not masthead(p.text)]
         if rescue:
             pieces = [p for p in pieces if not _BOILERPLATE.search(p.text)]
         pieces = [q for p in pieces for q in split_piece(p, o.cap)]

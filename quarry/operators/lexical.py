@@ -102,18 +102,33 @@ def plan_words(words: list[str], known_number) -> tuple[int | None, list[str]]:
 
 
 def search(docs: DataFrame, words: list[str], known_number) -> DataFrame:
-    """Documents that match every word, in one scan; a word that names a document by number replaces what came before."""
+    """Documents that match every word, in one scan; a word that names a document by number replaces what came before.
+
+    No word that counts restricts nothing: whether to search at all is for Request.active() to say."""
     number, rest = plan_words(words, known_number)
     out = docs if number is None else docs.where(F.col("doc_num") == number)
     for w in rest:
         out = out.where(word_match(F.col("title"), F.col("keywords"), w))
-    return out if words and (rest or number is not None) else docs.where(F.lit(False))
+    return out
+
+
+def answer(docs: DataFrame, tags: DataFrame, request: Request, known_number) -> DataFrame:
+    """What a request shows: nothing if it isn't active, else the documents with its words and tags, obsolete ones if wanted."""
+    if not request.active():
+        return docs.where(F.lit(False))
+    return without_obsolete(with_tags(search(docs, request.words, known_number), tags, request.tags), request.obsolete)
 
 
 def with_tags(found: DataFrame, tags: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """found, restricted to the documents with all wanted tags (one of a type)."""
-    for kind, name in wanted.items():
-        found = found.join(tags.where((F.col("tag_type") == kind) & (F.col("tag_name") == name)).select("doc_id"), "doc_id", "left_semi")
+    """found, restricted to the documents with all wanted tags (one of a type). A tag that no document has is an error."""
+    if not wanted:
+        return found
+    pairs = [(F.col("tag_type") == k) & (F.col("tag_name") == n) for k, n in wanted.items()]
+    there = tags.agg(*[F.coalesce(F.bool_or(p), F.lit(False)) for p in pairs]).first()
+    if unknown := [k for k, on in zip(wanted.items(), there) if not on]:
+        raise KeyError(f"unknown tag: {unknown}")
+    for p in pairs:
+        found = found.join(tags.where(p).select("doc_id"), "doc_id", "left_semi")
     return found
 
 

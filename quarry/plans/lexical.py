@@ -260,7 +260,7 @@ def _(t):
 
 
 CHAIN = "n AS (SELECT DISTINCT conv_id, turn, conv_id * 1000 + turn AS id FROM conversations), o AS (SELECT a.id AS doc_id, b.id AS old FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 1, a.turn - 2)), e AS (SELECT o_orderkey AS src, o_custkey * 1000 AS dst FROM orders)"
-WALKED = f"WITH RECURSIVE {CHAIN}, w AS (SELECT id AS root, id AS doc_id, 0 AS depth FROM n UNION ALL SELECT w.root, o.old, w.depth + 1 FROM w JOIN o ON w.doc_id = o.doc_id)"
+WALKED = f"WITH RECURSIVE {CHAIN}, w AS (SELECT id AS root, id AS doc_id, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM n UNION ALL SELECT w.root, o.old, w.depth + 1, list_append(w.path, o.old) FROM w JOIN o ON w.doc_id = o.doc_id)"
 
 
 def chain(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,7 +276,7 @@ def _(t):
     return graph.inherited_counts(*chain(t))
 
 
-@query("gr_inherited_list", f"{WALKED} SELECT root AS doc_id, dst AS \"of\", CAST(depth AS INTEGER) AS depth, src FROM w JOIN e ON e.dst = w.doc_id")
+@query("gr_inherited_list", f"{WALKED} SELECT root AS doc_id, dst AS \"of\", CAST(depth AS INTEGER) AS depth, src, CAST(row_number() OVER (PARTITION BY root ORDER BY path, src) AS INTEGER) AS place FROM w JOIN e ON e.dst = w.doc_id")
 def _(t):
     return graph.inherited_list(*chain(t)).drop("normative")
 

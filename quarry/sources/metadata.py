@@ -40,11 +40,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, bool]:
-    """(table, whether it failed): a table that can't be read is empty, and said to have failed."""
+    """(table, whether it failed): a table that can't be read, or any of whose files isn't an object or a list of objects of the schema, is empty, and said to have failed."""
+    rows = f"array<struct<{schema}>>" if "<" in schema or ":" in schema else f"array<struct<{', '.join(f'{n}:{k}' for n, k in (c.split() for c in schema.split(',')))}>>"
+    empty = spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path), False
+        raw = spark.read.text(path, wholetext=True)
+        text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+        listed = F.when(F.startswith(text, F.lit("[")), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+        parsed = raw.select(F.from_json(listed, rows, {"mode": "PERMISSIVE"}).alias("rows"), F.try_parse_json(listed).isNull().alias("broken"))
+        bad = parsed.where(F.col("broken") | F.col("rows").isNull() | F.exists(F.coalesce("rows", F.array().cast(rows)), lambda x: x.isNull())).limit(1).count()
     except AnalysisException:
-        return spark.createDataFrame([], schema), True
+        return empty, True
+    return (empty, True) if bad else (parsed.select(F.inline("rows")), False)
 
 
 def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
