@@ -27,7 +27,17 @@ MODELS = {
     "minilm-l6": ModelSpec("minilm-l6", "mean", "", 256, 384),
     "hashing": ModelSpec("hashing", "mean", "", 1 << 30, 64),
 }
-VARIANTS = ("fp32", "fp16", "int8", "uint8", "q4")
+#: File of a model and bytes of a weight, by variant.
+VARIANTS = {"fp32": ("model.onnx", 4.0), "fp16": ("model_fp16.onnx", 2.0), "int8": ("model_int8.onnx", 1.0), "uint8": ("model_uint8.onnx", 1.0), "q4": ("model_q4.onnx", 0.5)}
+
+
+def variant(model: str, kind: str) -> tuple[ModelSpec, str]:
+    """(model, file of its variant); an unknown one of either is an error that names those there are."""
+    if model not in MODELS:
+        raise KeyError(f"unknown model {model!r}; there are {', '.join(MODELS)}")
+    if kind not in VARIANTS:
+        raise KeyError(f"unknown variant {kind!r}; there are {', '.join(VARIANTS)}")
+    return MODELS[model], VARIANTS[kind][0]
 
 
 def pool(states: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
@@ -57,21 +67,26 @@ class HashingEncoder:
 class OnnxEncoder:
     """A transformer in ONNX: tokenise, cut, pad to the longest of the batch, pool, normalise. Loaded once in each worker."""
 
-    def __init__(self, model_path: str, tokenizer_path: str, spec: ModelSpec) -> None:
-        self.model_path, self.tokenizer_path, self.spec, self._open = model_path, tokenizer_path, spec, None
+    def __init__(self, model_path: str, tokenizer_path: str, spec: ModelSpec, open_session: Callable | None = None) -> None:
+        self.model_path, self.tokenizer_path, self.spec, self._session, self._open = model_path, tokenizer_path, spec, open_session, None
+        self.truncated = 0  # texts that filled the model's length
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self._open is None:
-            import onnxruntime
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(self.tokenizer_path)
             tokenizer.enable_truncation(self.spec.max_length)
             tokenizer.enable_padding()
-            self._open = tokenizer, onnxruntime.InferenceSession(self.model_path)
+            if self._session is None:
+                import onnxruntime
+
+                self._session = onnxruntime.InferenceSession
+            self._open = tokenizer, self._session(self.model_path)
         tokenizer, net = self._open
         coded = tokenizer.encode_batch(texts)
         ids, mask = (np.array([getattr(c, k) for c in coded], np.int64) for k in ("ids", "attention_mask"))
+        self.truncated += int((mask.sum(1) >= self.spec.max_length).sum())
         feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
         states = net.run(None, {i.name: feed[i.name] for i in net.get_inputs() if i.name in feed})[0]
         return pool(states, mask.astype(np.float32), self.spec.pooling)

@@ -46,3 +46,24 @@ def size_report(sizes: DataFrame, column: str = "n") -> DataFrame:
         F.count("*").alias("clusters"), F.sum(n).alias("total"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.95)).alias("p95"),
         F.max(n).alias("most"), F.min(n).alias("least"), F.count_if(n == 0).alias("empty"),
     )
+
+
+def separation_report(separations: DataFrame, worst: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((pairs, mean, least), the pairs that are least apart). separations: (pair_id, separation)."""
+    return separations.agg(F.count("*").alias("pairs"), F.avg("separation").alias("mean"), F.min("separation").alias("least")), separations.orderBy("separation", "pair_id").limit(worst)
+
+
+def chunk_report(chunks: DataFrame, docs: DataFrame, rejects: DataFrame, budget: int, per_token: float = 4.0) -> DataFrame:
+    """One row about (doc_id, text) chunks of (doc_id) documents: files, chunks, chunks a file, characters of a chunk, files without chunks, errors, and the share of chunks above a budget of tokens at so many characters each."""
+    size = F.length("text")
+    each = docs.select(F.col("doc_id").cast("string").alias("doc_id")).join(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    files = each.agg(F.count("*").alias("files"), F.sum("n").alias("chunks"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"), F.min("n").alias("least"), F.count_if(F.col("n") == 0).alias("without"))
+    quantiles = F.percentile_approx(size, F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)]))
+    lengths = chunks.agg(quantiles.alias("lengths"), F.max(size).alias("longest"), F.avg((size > budget * per_token).cast("double")).alias("over_budget"))
+    return files.crossJoin(lengths).crossJoin(rejects.agg(F.count("*").alias("errors")))  # one row each
+
+
+def token_report(tokens: DataFrame, limit: int) -> DataFrame:
+    """(texts, mean, p95, p99, most, truncated, truncated_share) of (n): truncated are those that a model of this limit would cut or fill."""
+    n = F.col("n")
+    return tokens.agg(F.count("*").alias("texts"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.95)).alias("p95"), F.percentile(n, F.lit(0.99)).alias("p99"), F.max(n).alias("most"), F.count_if(n >= limit).alias("truncated"), F.avg((n >= limit).cast("double")).alias("truncated_share"))
