@@ -50,7 +50,7 @@ SHINGLE, K = 3, 64
 #: The near copies of the given tables lie above 0.5 and unrelated texts far below.
 THRESHOLD, SIGMAS = 0.5, 4.0
 #: Documents of a list that are compared with as many others at a time, and pairs of them whose sketches are merged at once.
-BLOCK, PAIRS = 512, 16_384
+BLOCK, PAIRS = 512, 4_096
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
