@@ -46,7 +46,7 @@ from .common import forget, lean, parts_of, read_table, small_side, stored, unus
 
 WORD = re.compile(r"\w+")
 WINDOW, NEAR, SLOP, SHORTEST = 13, 11, 2, 5
-SEGMENT, PIECE = 1_500_000, 1_000_000
+SEGMENT, PIECE = 800_000, 500_000
 #: Empty positions after each document; no match can bridge more than 2 * slop + misses of them.
 GAP = 16
 TEST_CHARS, BLOCK = 8_000_000, 1 << 16
