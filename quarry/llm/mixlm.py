@@ -1,7 +1,7 @@
 """Language-model scores (bits per byte) by online logistic context mixing.
 
 Every bit of every byte is predicted in six hashed contexts: the last 0, 1, 2, 3 and 4 bytes, and the
-current word's bytes. A context's counts of zeros and ones give a stretched probability; these are
+current word's bytes (its last 4 at most, apart by how many there are). A context's counts of zeros and ones give a stretched probability; these are
 combined by weights that a gate selects (bit position and how many of the long contexts are known),
 and an adaptive map, by last byte and mixed probability, refines the result. The cost of a byte is
 -log2 of the probability given to it; a document's score is its total cost over its bytes.
@@ -14,7 +14,11 @@ each block adds what it has seen and moves the weights and the map. No document
 itself, and a score depends on the corpus only, not on how tasks are spread.
 
 Within a block the model is fixed; equal 5-byte strings then cost the same, so each distinct one is
-computed once. Blocks double from BLOCK bytes up to BLOCK_MOST, so that learning is quick at first.
+computed once. Blocks double from BLOCK bytes up to BLOCK_MOST, so that learning is quick at first; a
+full shard has some 70 of them. A repeat within one block costs what the first one does.
+
+Counts are summed and a shard's own are taken off as integers. A slot above COUNT is then scaled down to
+it, so that what a shard adds still moves it, however large the corpus.
 
 Defined cases
 * null or empty text: 0 bytes, 0 bits, null bits per byte.
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, read_table
 
-SHARD, BLOCK, BLOCK_MOST = 16 << 20, 1 << 12, 1 << 22
+SHARD, BLOCK, BLOCK_MOST, GATHER, COUNT = 16 << 20, 1 << 12, 1 << 18, 1 << 22, 1 << 20
 BITS = (8, 16, 18, 19, 20, 19)  # size of each context's table; the last is the word
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
 SLOTS, CHUNK, FAN_IN = int(OFFSET[-1]), 1 << 15, 64
@@ -121,6 +125,12 @@ def _add(table: np.ndarray, at: list[np.ndarray], bit: np.ndarray, count: np.nda
         np.add.at(table, (2 * a + bit).ravel(), each)
 
 
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts (zeros, ones of each slot) as float32, with a sum of COUNT at most."""
+    both = counts.reshape(-1, 2)
+    return (both * np.minimum(1.0, COUNT / np.maximum(1, both.sum(1)))[:, None]).astype(np.float32).ravel()
+
+
 class Mixer:
     """Gated weights and the adaptive map; both move after each block."""
 
@@ -183,9 +193,9 @@ def blocks(size: int) -> list[tuple[int, int]]:
 
 
 def score_shard(texts: list[str | None], total: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, bytes) of each text, in this order. total: counts over the whole corpus, this shard's included (exact in float32 up to 2**24, to 7 digits beyond)."""
+    """(bits, bytes) of each text, in this order. total: counts over the whole corpus, this shard's included."""
     data, begin, end = stream(texts)
-    table = np.zeros(2 * SLOTS, np.float32) if total is None else total.astype(np.float32)
+    counts = np.zeros(2 * SLOTS, np.int64) if total is None else total.astype(np.int64)
     inside = _inside(data, begin)
     work = []
     for lo, hi in blocks(len(data)):
@@ -194,7 +204,9 @@ def score_shard(texts: list[str | None], total: np.ndarray | None) -> tuple[np.n
         work.append((lo, hi, codes, gram, count))
     if total is not None and work:
         which, own = pd.factorize(np.concatenate([w[3] for w in work]))
-        add(table, own, np.bincount(which, np.concatenate([w[4] for w in work]), len(own)).astype(np.int64), -1)
+        add(counts, own, np.bincount(which, np.concatenate([w[4] for w in work]), len(own)).astype(np.int64), -1)
+    table = scaled(counts)
+    del counts
     mixer, cost = Mixer(), np.zeros(len(data) + 1)
     for lo, hi, codes, gram, count in work:
         cost[lo:hi] = mixer.block(table, gram, count)[codes]
@@ -214,8 +226,8 @@ def corpus_counts(texts: list[str | None]) -> np.ndarray:
 def _count(table: np.ndarray, texts: list[str | None]) -> None:
     data, begin, end = stream(texts)
     inside = _inside(data, begin)
-    for lo in range(0, len(data), BLOCK_MOST):
-        hi = min(len(data), lo + BLOCK_MOST)
+    for lo in range(0, len(data), GATHER):
+        hi = min(len(data), lo + GATHER)
         gram, count = np.unique(grams(data, lo, hi)[inside[lo:hi]], return_counts=True)
         add(table, gram, count)
 
@@ -241,7 +253,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0):
             some.append(t.as_py())
             size += len(some[-1] or "")
-            if size > BLOCK_MOST:
+            if size > GATHER:
                 _count(table, some)
                 some, size = [], 0
     _count(table, some)

@@ -206,6 +206,12 @@ def test_scores_equal_brute_force(with_total, monkeypatch):
     assert np.allclose(bits, brute_scores(texts, total), rtol=1e-4, atol=1e-2)
 
 
+def test_large_counts_still_move():
+    n = np.array([1 << 40, 3 << 40, 5, 7, 0, 0])
+    got = mixlm.scaled(n)
+    assert got.tolist() == [mixlm.COUNT / 4, 3 * mixlm.COUNT / 4, 5, 7, 0, 0] and got[0] + np.float32(1) > got[0]
+
+
 def test_scores_tell_language_from_noise(spark):
     rng = random.Random(5)
     words = [a + b for a in ("ba", "ke", "lo") for b in ("dan", "fer", "gol")]
