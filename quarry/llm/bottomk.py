@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import distinct, forget, lean, parts_of, read_table, small_side, stored, unused
+from .common import distinct, forget, lean, parts_of, read_table, small_side, stored, trim, unused
 
 WORD = re.compile(r"\w+")
 SHINGLE, K = 3, 64
@@ -179,6 +179,7 @@ def _likely(threshold: float, sigmas: float):
         for lo in range(0, len(a), PAIRS):
             some = slice(lo, lo + PAIRS)
             out[some] = _may(estimates(*_padded(list(a[some])), *_padded(list(b[some]))), na[some].to_numpy(), nb[some].to_numpy(), threshold, sigmas)
+        trim()
         return pd.Series(out)
 
     return likely
@@ -186,7 +187,9 @@ def _likely(threshold: float, sigmas: float):
 
 @F.pandas_udf(DoubleType())
 def _exact(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
+    out = pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
+    trim()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,10 +5,8 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
-import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its rows, counted, take no more than this.
 BROADCAST_BYTES = 16 << 20
-#: Arrow batches that go to Python while a table is stored: long texts must not pile up in a worker.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_lock, _users = threading.Lock(), {}
 #: Characters of a text that are cut into words at a time.
 PART_CHARS = 1 << 20
 _NO_WORD = re.compile(r"\W")
@@ -48,31 +44,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of ARROW_BYTES to Python meanwhile. It is a setting of the session: other queries may see it, which changes their memory and no result; the last of concurrent users sets it back."""
-    key = id(spark._jsparkSession)
-    with _lock:
-        n, before = _users.get(key, (0, None))
-        _users[key] = (n + 1, before if n else spark.conf.get(_BATCH))
+def settle(spark: SparkSession | None = None) -> None:
+    """Arrow batches of ARROW_BYTES at most to Python, from now on in this session: long texts must not pile up in a worker. It changes no result, and isn't set back, so that no concurrent query depends on when."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark and int(re.sub(r"\D", "", spark.conf.get(_BATCH)) or 0) != ARROW_BYTES:
         spark.conf.set(_BATCH, str(ARROW_BYTES))
-    try:
-        yield
-    finally:
-        with _lock:
-            n, before = _users.pop(key)
-            if n > 1:
-                _users[key] = (n - 1, before)
-            else:
-                spark.conf.set(_BATCH, before)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: later jobs neither recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with small_batches(spark):
-        df.write.options(**options).parquet(path)
+    settle(spark)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -94,7 +78,8 @@ def trim() -> None:
 
 
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """function for mapInArrow, with trim() after it."""
+    """function for mapInArrow, in small batches, with trim() after it."""
+    settle()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
