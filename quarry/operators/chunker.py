@@ -12,7 +12,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,15 @@ class Options:
     cap: int = CAP
     overlap: bool = True
     keep_thanks: bool = False
+    token_budget: int | None = None  # a chunk must also fit so many tokens ...
+    chars_per_token: float = 4.0  # ... at so many characters each
+
+    def fitted(self) -> Options:
+        """With the token budget turned into a cap."""
+        if self.token_budget is None:
+            return self
+        cap = max(1, min(self.cap, int(self.token_budget * self.chars_per_token)))
+        return replace(self, cap=cap, target=min(self.target, cap), token_budget=None)
 
 
 def decode(raw: bytes) -> tuple[str, bool]:
@@ -330,6 +339,7 @@ def byte_offsets(text: str, single: bool):
 
 def chunk_text(text: str, options: Options = Options(), single: bool = False) -> list[tuple[str | None, str | None, int, int, str]]:
     """(section, title, byte offset, byte length, text) of each chunk. If the headings leave nothing, they are ignored."""
+    options = options.fitted()
     lines = without_furniture(lines_of(text))
     indent = body_indent(lines)
     where = byte_offsets(text, single)

@@ -1,7 +1,7 @@
 """Queries of lexical search, projections, set operations and the graph, on the star schema.
 
 part stands for the documents: id p_partkey, title p_name, level p_type, stream p_brand; its keyword
-phrases are the title as a whole. lineitem gives citations (order -> part), conversations the chain
+phrases are the title as a whole, and its type with the word "goods", which no title holds. lineitem gives citations (order -> part), conversations the chain
 of turns that replace one another."""
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from ..operators import graph, lexical
 from .registry import Tables, query
 
 CLEAN = "regexp_replace(lower({}), '[][().,?\"'']', '', 'g')"
-DOCS = "docs AS (SELECT p_partkey AS doc_id, p_partkey AS doc_num, p_name AS title, p_type AS level, p_brand AS stream, CASE WHEN p_size > 40 THEN 'obsoleted' ELSE 'current' END AS status FROM part)"
+DOCS = "docs AS (SELECT p_partkey AS doc_id, p_partkey AS doc_num, p_name AS title, p_type AS level, p_brand AS stream, CASE WHEN p_size > 40 THEN 'obsoleted' ELSE 'current' END AS status, p_type || ' goods' AS kw FROM part)"
 REFS = "refs AS (SELECT p_partkey AS doc_id, count(l_orderkey) AS refs FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)"
 
 
 def docs(t: Tables) -> DataFrame:
     return t.part.select(
-        F.col("p_partkey").alias("doc_id"), F.col("p_partkey").alias("doc_num"), F.col("p_name").alias("title"), F.array("p_name").alias("keywords"), F.col("p_type").alias("level"),
+        F.col("p_partkey").alias("doc_id"), F.col("p_partkey").alias("doc_num"), F.col("p_name").alias("title"), F.array(F.col("p_name"), F.concat("p_type", F.lit(" goods"))).alias("keywords"), F.col("p_type").alias("level"),
         F.col("p_brand").alias("stream"), F.when(F.col("p_size") > 40, "obsoleted").otherwise("current").alias("status"), "p_size", "p_retailprice",
     )
 
@@ -32,7 +32,7 @@ def edges(t: Tables) -> DataFrame:
 
 def word_sql(w: str) -> str:
     c = CLEAN.format("x")
-    return f"(len(list_filter(list_transform(string_split(title, ' '), lambda x: {c}), lambda y: starts_with(y, '{w}'))) > 0 OR starts_with({CLEAN.format('title')}, '{w}'))"
+    return f"(len(list_filter(list_transform(string_split(title, ' '), lambda x: {c}), lambda y: starts_with(y, '{w}'))) > 0 OR starts_with({CLEAN.format('title')}, '{w}') OR starts_with({CLEAN.format('kw')}, '{w}'))"
 
 
 def known(t: Tables):
@@ -50,7 +50,18 @@ def _(t):
     return lexical.lookup(index, "blu").select("doc_id").join(lexical.lookup(index, "bol").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("lex_keyword_phrase_prefix", f"WITH {DOCS} SELECT doc_id, title FROM docs WHERE starts_with({CLEAN.format('title')}, 'hot ge')")
+@query("lex_keyword_only", f"WITH {DOCS} SELECT doc_id, title FROM docs WHERE {word_sql('promo')} AND {word_sql('bolt')}")
+def _(t):
+    return lexical.search(docs(t), ["promo", "bolt"], known(t)).select("doc_id", "title")
+
+
+@query("lex_no_words_with_tag", f"WITH {DOCS} SELECT doc_id, title FROM docs WHERE level = 'PROMO' AND status <> 'obsoleted'")
+def _(t):
+    d = docs(t)
+    return lexical.answer(d, lexical.derived_tags(d), lexical.Request(tags={"level": "PROMO"}), known(t)).select("doc_id", "title")
+
+
+@query("lex_keyword_phrase_prefix", f"WITH {DOCS} SELECT doc_id, title FROM docs WHERE starts_with({CLEAN.format('title')}, 'hot ge') OR starts_with({CLEAN.format('kw')}, 'hot ge')")
 def _(t):
     return docs(t).where(F.exists("keywords", lambda k: F.startswith(T.clean_token(k), F.lit("hot ge")))).select("doc_id", "title")
 
@@ -67,7 +78,7 @@ def _(t):
 
 @query("lex_postings_build", f"""
 WITH {DOCS}, tok AS (SELECT doc_id, 'title' AS field, {CLEAN.format("w")} AS token FROM (SELECT doc_id, unnest(string_split(title, ' ')) AS w FROM docs)
-  UNION ALL SELECT doc_id, 'keyword', {CLEAN.format("title")} FROM docs)
+  UNION ALL SELECT doc_id, 'keyword', {CLEAN.format("title")} FROM docs UNION ALL SELECT doc_id, 'keyword', {CLEAN.format("kw")} FROM docs)
 SELECT field, token[1:3] AS prefix3, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tok WHERE length(token) >= 3 GROUP BY ALL""")
 def _(t):
     return lexical.postings(docs(t)).groupBy("field", "prefix3").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))

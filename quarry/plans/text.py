@@ -127,6 +127,14 @@ def _(t):
     return packed.select("doc_id", "chunk", F.col("c.lines").cast("long").alias("lines"), F.col("c.size").alias("size"))
 
 
+@query("txt_chunk_report")
+def _(t):
+    """The report on the chunks of all documents."""
+    docs = t.documents.select("doc_id", "text")
+    chunks, rejects = chunker.chunk_documents(docs)
+    return evaluation.chunk_report(chunks, docs, rejects, 400)
+
+
 @query("txt_sentence_split")
 def _(t):
     @F.pandas_udf("array<int>")

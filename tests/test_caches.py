@@ -271,3 +271,20 @@ def test_reports(spark):
     assert (r.files, r.chunks, r.mean, r.median, r.most, r.without, r.longest, r.errors) == (3, 3, 1.0, 1.0, 2, 1, 50, 1) and abs(r.over_budget - 1 / 3) < 1e-9
     t = evaluation.token_report(spark.createDataFrame([(1,), (5,), (8,)], "n int"), 5).first()
     assert (t.texts, t.truncated, t.most) == (3, 2, 8)
+
+
+def test_chunks_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    from quarry import chunks
+    from quarry.operators import chunker
+
+    monkeypatch.setattr(chunks, "session", lambda *a: spark)
+    (tmp_path / "in").mkdir()
+    body = "\n\n".join("   " + " ".join(f"word{i}" for i in range(k, k + 60)) + "." for k in range(0, 900, 60))
+    (tmp_path / "in/rfc1.txt").write_text("1.  Introduction\n\n" + body)
+    (tmp_path / "in/rfc2.txt").write_text("")
+    assert chunks.main([str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--sources", str(tmp_path / "src"), "--stats", "--token-budget", "150", "--chars-per-token", "4", "--no-overlap"]) == 0
+    told = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert told["files"] == 2 and told["without"] == 1 and told["longest"] <= 600 and told["over_budget"] == 0 and told["chunks"] > 5
+    assert spark.read.json(str(tmp_path / "src")).count() == 2
+    o = chunks.options_of(chunks.parser().parse_args(["x", "--keep-acks", "--target", "900"]))
+    assert o == chunker.Options(target=900, keep_thanks=True) and o.fitted() is o
