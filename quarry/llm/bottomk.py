@@ -157,12 +157,14 @@ def _padded(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def estimates(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
     """For each row the share of the union's bottom K that both sketches hold; a sketch below K is the whole set."""
-    both = np.concatenate([a, b], 1)
+    if not len(a):
+        return np.zeros(0)
+    both = np.concatenate([a[:, : a_size.max()], b[:, : b_size.max()]], 1)
     both.sort(1)
     twice = both[:, 1:] == both[:, :-1]
-    twice &= np.arange(1, 2 * K)[None, :] < (a_size + b_size)[:, None]
-    so_far = np.cumsum(twice, 1)
-    shared = (twice & (np.arange(2, 2 * K + 1)[None, :] - so_far <= K)).sum(1)
+    twice &= np.arange(1, both.shape[1])[None, :] < (a_size + b_size)[:, None]
+    so_far = np.cumsum(twice, 1, dtype=np.int16)
+    shared = (twice & (np.arange(2, both.shape[1] + 1, dtype=np.int16)[None, :] - so_far <= K)).sum(1)
     return shared / np.maximum(1, np.minimum(K, a_size + b_size - so_far[:, -1]))
 
 
@@ -268,7 +270,8 @@ def _across(listed: DataFrame, near: DataFrame, sketches: DataFrame, threshold:
     other = F.explode(F.sequence(F.when(large, F.col("x")).otherwise(F.lit(0)), F.col("x") + F.col("y") - 1))
     members = members.join(sketches.select("row", "n", "sketch"), "row").select("value", "row", "g", "n", "sketch", "part", other.alias("other"))
     units = members.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other")
-    pairs = units.groupBy("value", "p", "q").applyInPandas(_compare(threshold, sigmas), "a long, b long").distinct()
+    spread = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value", "p", "q")  # work follows pairs, not bytes, so adaptive execution may not merge these
+    pairs = spread.groupBy("value", "p", "q").applyInPandas(_compare(threshold, sigmas), "a long, b long").distinct()
     out = stored(pairs, "late")
     forget(placed, lists)
     return out
