@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,32 @@ def shared_dir(spark: SparkSession) -> str:
     return now.get().rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written to new paths meanwhile: for results that are stored elsewhere by then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        delete(spark, *made)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(spark: SparkSession | None = None) -> None:
@@ -106,9 +132,7 @@ def parts_of(text: str) -> Iterator[str]:
 def forget(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote and that no plan will read any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_at)
 
 
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
