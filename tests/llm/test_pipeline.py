@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import differences
@@ -58,6 +59,24 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert got == +want and sum(want.values()) > len(want)
 
 
+def test_run_of_defined_cases(spark, tmp_path):
+    rng = random.Random(31)
+    good = [t for t, g in labelled(rng, 60) if g][:8]
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (2, None), (3, ""), (None, good[2]), (4, good[3]), (5, good[3]), (6, prose(rng, 30_000)), (7, "\n ")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    clash = ["mix_source", "text_key", "token_ids", "n_tokens", "row_of_text", "score", "item_id", "Kept_Id"]
+    for name in clash:
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, df in (("documents", docs), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    enc = token_store.encoding()
+    texts = Counter((r.doc_id, enc.decode(r.token_ids)) for r in got.collect())
+    assert set(texts) == {(1, good[0]), (1, good[1]), (None, good[2]), (4, good[3]), (6, rows[8][1])} and got.columns == ["doc_id", "n_tokens", "token_ids"]
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_files_are_in_training_order(spark, tmp_path, monkeypatch):
     rng = random.Random(12)
     docs = spark.createDataFrame([(i, prose(rng, rng.choice([5, 40, 900])), "en", "aaab"[i % 4], 0) for i in range(200)], DOCS)
