@@ -41,6 +41,11 @@ def level(x: Column, levels: Mapping[str, str] = LEVELS) -> Column:
     return F.coalesce(F.try_element_at(table, x), F.raise_error(F.concat(F.lit("unknown level: "), F.coalesce(x, F.lit("null")))).cast("string"))
 
 
+def attribute(values: Column, key: Column, default: Column) -> Column:
+    """The value of a key in a map, or the default where the map, the key or the value is missing."""
+    return F.coalesce(F.try_element_at(values, key), default)
+
+
 def string_hash(x: Column) -> Column:
     """32-bit h = 31 h + c over the characters, unsigned. Of the characters beyond 16 bits the code point counts as one."""
     codes = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

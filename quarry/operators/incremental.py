@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import json
 import re
@@ -57,9 +58,22 @@ def update_cache(chunks: DataFrame, cache: DataFrame, embed: Callable[[DataFrame
     return embed(new)
 
 
+def _shape(code: str) -> str:
+    """Python code without what doesn't change its work: comments, layout, documentation strings. Other text with its white space squeezed."""
+    try:
+        tree = ast.parse(code)
+    except SyntaxError:
+        return re.sub(r"\s+", " ", code)
+    for node in ast.walk(tree):
+        body = getattr(node, "body", None)
+        if isinstance(body, list) and body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
+            node.body = body[1:] or [ast.Pass()]
+    return ast.dump(tree)
+
+
 def fingerprint(code: str, options: dict) -> dict:
     """What the output of a step depends on besides its input."""
-    return {"code": hashlib.sha256(re.sub(r"\s+", " ", code).encode()).hexdigest(), "opts": json.dumps(options, sort_keys=True)}
+    return {"code": hashlib.sha256(_shape(code).encode()).hexdigest(), "opts": json.dumps(options, sort_keys=True)}
 
 
 def reuse_forbidden(old: dict | None, new: dict) -> str | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -94,3 +96,19 @@ def describe_tag_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     out = lines.withColumn("k", F.when(number != "", F.concat(F.lit("RFC"), number))).join(known, "k", "left")
     lost = F.raise_error(F.concat(F.lit("no such document: "), F.col("k"))).cast("string")
     return out.select("file", "line_no", F.when(F.col("k").isNull(), F.col("line")).when(F.col("title").isNull(), lost).otherwise(F.concat("k", F.lit(" "), "title")).alias("line"))
+
+
+def write_tag_files(described: DataFrame, folder: str) -> list[str]:
+    """Write described lines (file, line_no, line) back, a file at a time and at once; a file whose text doesn't change isn't touched. The names of those that were. The files are small, and lie where the driver can write."""
+    written = []
+    for r in described.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines")).orderBy("file").toLocalIterator():
+        path, text = os.path.join(folder, r.file), "".join(f"{x.line}\n" for x in r.lines)
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                if f.read() == text:
+                    continue
+        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(f"{path}.tmp", path)
+        written.append(r.file)
+    return written

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunker, graph, lexical
+from quarry.functions import text
+from quarry.operators import checks, chunker, graph, incremental, lexical
 from quarry.sources import metadata
 
 DOCS = "doc_id string, doc_num int, title string, keywords array<string>, status string"
@@ -87,3 +88,31 @@ def test_json_tables_that_cannot_be_read_are_said_to_have_failed(spark, tmp_path
 def test_a_missing_json_table_has_failed(spark, tmp_path):
     got, failed = metadata.read_json(spark, str(tmp_path / "none.json"), "a int, b array<string>")
     assert failed and got.count() == 0 and got.select(F.size("b")).columns
+
+
+def test_fingerprints_follow_the_code_and_not_its_looks():
+    a = incremental.fingerprint('def f(x):\n    """Says."""\n    return x + 1  # one\n', {"cap": 1})
+    assert a == incremental.fingerprint("def f(x):\n\n    return (x + 1)\n", {"cap": 1})
+    assert incremental.reuse_forbidden(a, incremental.fingerprint("def f(x):\n    return x + 2\n", {"cap": 1})) == "changed: code"
+    assert incremental.reuse_forbidden(a, {**a, "opts": "{}"}) == "changed: opts" and incremental.reuse_forbidden(a, dict(a)) is None
+    assert incremental.fingerprint("not  python ::", {})["code"] == incremental.fingerprint("not python\n::", {})["code"]
+
+
+def test_tag_files_are_written_where_they_change(spark, tmp_path):
+    (tmp_path / "a").write_text("RFC1 One\nname A\n")
+    lines = spark.createDataFrame([("a", 0, "RFC1 One"), ("a", 1, "name A"), ("b", 0, "RFC2 Two")], "file string, line_no int, line string")
+    before = (tmp_path / "a").stat().st_mtime_ns
+    assert metadata.write_tag_files(lines, str(tmp_path)) == ["b"]
+    assert (tmp_path / "a").stat().st_mtime_ns == before and (tmp_path / "b").read_text() == "RFC2 Two\n"
+
+
+def test_attributes_with_a_default(spark):
+    df = spark.createDataFrame([({"a": 1}, "a"), ({"a": 1}, "b"), ({"b": None}, "b"), (None, "a"), ({"a": 2}, None)], "m map<string,int>, k string")
+    assert [r[0] for r in df.select(text.attribute(F.col("m"), F.col("k"), F.lit(9))).collect()] == [1, 9, 9, 9, 9]
+
+
+def test_agreement_on_a_sample(spark):
+    owner = spark.range(1000).select("id", F.lit(1).alias("cluster_id"))
+    other = spark.range(1000).select("id", F.when(F.col("id") == 5, 2).otherwise(1).alias("cluster_id"))
+    whole, part = checks.agreement(owner, other).first(), checks.agreement(owner, other, sample=0.2).first()
+    assert (whole.checked, whole.equal) == (1000, 999) and 120 < part.checked < 280 and part.equal >= part.checked - 1
