@@ -281,7 +281,7 @@ def test_chunks_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "in").mkdir()
     body = "\n\n".join("   " + " ".join(f"word{i}" for i in range(k, k + 60)) + "." for k in range(0, 900, 60))
     (tmp_path / "in/rfc1.txt").write_text("1.  Introduction\n\n" + body)
-    (tmp_path / "in/rfc2.txt").write_text("")
+    (tmp_path / "in/rfc2.txt").write_text("\n")
     assert chunks.main([str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--sources", str(tmp_path / "src"), "--stats", "--token-budget", "150", "--chars-per-token", "4", "--no-overlap"]) == 0
     told = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
     assert told["files"] == 2 and told["without"] == 1 and told["longest"] <= 600 and told["over_budget"] == 0 and told["chunks"] > 5
