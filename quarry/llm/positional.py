@@ -53,7 +53,7 @@ TEST_CHARS, BLOCK = 8_000_000, 1 << 16
 _POS = 24  # bits of a position within a segment; the other 40 are the term
 _LOW = np.uint64((1 << _POS) - 1)
 INDEX = "doc_ids array<long>, text_keys array<long>, cut array<long>, offsets array<long>, starts binary, terms binary, counts binary, positions binary"
-FOUND = "doc_id long, text_key long, cut long, item_id long, phrases array<int>, nears array<int>, phrase_windows int, near_windows int, first_token long"
+FOUND = "doc_id long, text_key long, cut long, item_id long, phrases array<int>, nears array<int>, phrase_windows int, near_windows int, first_token long, first_phrase long"
 
 
 class _Terms(dict):
@@ -308,15 +308,16 @@ def _matcher(owner: np.ndarray, flat: np.ndarray, at: np.ndarray, sizes: np.ndar
                     d, i = rows[lo, 0], rows[lo, 1]
                     near, phrase = np.unique(rows[lo:hi, 2]), np.unique(rows[lo:hi, 2][rows[lo:hi, 3] == 1])
                     lists_too = (phrase.tolist(), near.tolist()) if cut[d] >= 0 else (None, None)
-                    out.append((ids[d], keys[d], cut[d], int(items[i]), *lists_too, len(phrase), len(near), int(rows[lo:hi, 4].min()) + offsets[d]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64()]
+                    exact = rows[lo:hi, 4][rows[lo:hi, 3] == 1]
+                    out.append((ids[d], keys[d], cut[d], int(items[i]), *lists_too, len(phrase), len(near), int(rows[lo:hi, 4].min()) + offsets[d], int(exact.min()) + offsets[d] if len(exact) else None))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], k) for c, k in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     return match
 
 
 def matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near: int = NEAR, slop: int = SLOP, shortest: int = 1, test_chars: int = TEST_CHARS, segment: int = SEGMENT, piece: int = PIECE) -> DataFrame:
-    """One row per document and test item that match: how many of the item's windows stand in the document as phrases, how many as phrases or nearly, and the first token of any."""
+    """One row per document and test item that match: how many of the item's windows stand in the document as phrases, how many as phrases or nearly, and the first token of a phrase, or of a near match (up to slop early) where there is none."""
     if 2 * slop + window - near >= GAP:
         raise ValueError("slop and misses would let a match bridge two documents")
     index = build_index(docs, segment, piece=piece, overlap=window + 2 * slop + 4)
@@ -332,12 +333,12 @@ def matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near: int =
     found = stored(out, "found")
     forget(index)
     keys = ["doc_id", "text_key", "item_id"]
-    whole = found.where("cut < 0").select(*keys, "phrase_windows", "near_windows", "first_token")
+    whole = found.where("cut < 0").select(*keys, "phrase_windows", "near_windows", F.coalesce("first_phrase", "first_token").alias("first_token"))
 
     def distinct(c: str):
         return F.size(F.array_distinct(F.flatten(F.collect_list(c))))
 
-    cut = found.where("cut >= 0").groupBy("cut", *keys).agg(distinct("phrases").alias("phrase_windows"), distinct("nears").alias("near_windows"), F.min("first_token").alias("first_token"))
+    cut = found.where("cut >= 0").groupBy("cut", *keys).agg(distinct("phrases").alias("phrase_windows"), distinct("nears").alias("near_windows"), F.coalesce(F.min("first_phrase"), F.min("first_token")).alias("first_token"))
     return whole.unionByName(cut.drop("cut"))
 
 
