@@ -14,10 +14,12 @@ short documents are their sets. Passages that many documents share are frequent,
 the order, and hardly ever listed.
 
 Texts with equal words are grouped by a 128-bit hash first, so any number of copies is one document
-afterwards. Every list is then paired with its hub alone. Lists that still hold more than one group are
-compared in blocks of BLOCK documents, each within one task, which returns the pairs that pass the
-estimate only; lists of the same documents are compared once. The result is the same as comparing all
-with all.
+afterwards. Every list is then paired with its hub alone, the document of which most can be in common. Lists
+that still hold more than one group are compared in blocks of BLOCK documents, each within one task, which
+returns the pairs that pass the estimate only; lists of the same documents are compared once. Two sketches
+share no more than what each has from their first common value on, so most pairs that share a passage
+and little else are left out by numbers alone (a positional filter), without a look at the sketches. The
+result is the same as comparing all with all.
 
 A document is a row's doc_id and text. Defined cases
 * null or blank text, or text without words: in no group, stays.
@@ -49,8 +51,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, K = 3, 64
 #: The near copies of the given tables lie above 0.5 and unrelated texts far below.
 THRESHOLD, SIGMAS = 0.5, 4.0
-#: Documents of a list that are compared with as many others at a time, and pairs of them whose sketches are merged at once.
-BLOCK, PAIRS = 512, 4_096
+#: Documents of a list that are compared with as many others at a time, pairs of them whose numbers are compared at once, and whose sketches are merged at once.
+BLOCK, NUMBERS, PAIRS = 512, 1 << 17, 4_096
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -233,23 +235,63 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
+def _possible(left: np.ndarray, size: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
+    """Could the pairs (a, b) pass _may(), if the list is that of their first common value? left: the values that each has in common with any document, from the list's on."""
+    shared = np.minimum(left[a], left[b])
+    most = shared / np.maximum(1, np.minimum(K, size[a] + size[b] - shared))
+    return _may(most, n[a], n[b], threshold, sigmas)
+
+
 def _compare(threshold: float, sigmas: float):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The likely pairs of different groups in one block of a list, or across two blocks."""
-        row, g, n, part = (pdf[c].to_numpy() for c in ("row", "g", "n", "part"))
-        sketch, size = _padded(list(pdf["sketch"]))
-        found, two = [], part.min() != part.max()
-        for i in range(len(row) - 1):  # a line of the block's triangle at a time
-            j = np.arange(i + 1, len(row))
-            j = j[(g[j] != g[i]) & (np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]) - 1e-9) & (not two or part[j] != part[i])]
-            found.append(np.stack([np.full(len(j), i), j]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        on = [np.zeros(0, bool)]
-        for lo in range(0, pairs.shape[1], PAIRS):
-            a, b = pairs[:, lo : lo + PAIRS]
-            on.append(_may(estimates(sketch[a], size[a], sketch[b], size[b]), n[a], n[b], threshold, sigmas))
-        a, b = pairs[:, np.concatenate(on)]
-        return pd.DataFrame({"a": np.minimum(row[a], row[b]), "b": np.maximum(row[a], row[b])})
+    def units(t: pa.Table, groups: dict[int, int]) -> pa.RecordBatch:
+        """The likely pairs of different groups of each unit: one block of a list, or two blocks. groups: those joined so far by pairs that are sure."""
+
+        def top(g: int) -> int:
+            while (up := groups.get(g, g)) != g:
+                groups[g] = g = groups.get(up, up)
+            return g
+
+        row, g, n, left, part, p, q, start = (t.column(c).to_numpy() for c in ("row", "g", "n", "left", "part", "p", "q", "start"))
+        sketch, size = _padded([x.values.to_numpy() for x in t.column("sketch")])
+        two, at = p != q, np.arange(len(row))
+        first = np.flatnonzero(start)
+        partners = np.repeat(np.append(first[1:], len(row)), np.diff(np.append(first, len(row)))) - at - 1
+        done, lo, found = np.concatenate([[0], np.cumsum(partners)]), 0, [np.zeros((2, 0), np.int64)]
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + NUMBERS, side="right")) - 1)
+            a = np.repeat(at[lo:hi], partners[lo:hi])
+            b = a + 1 + np.arange(len(a)) - (done[a] - done[lo])
+            on = (g[a] != g[b]) & (~two[a] | (part[a] != part[b]))
+            a, b = a[on], b[on]
+            on = _possible(left, size, n, a, b, threshold, sigmas)
+            a, b = a[on], b[on]
+            for k in range(0, len(a), PAIRS):
+                x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+                e = estimates(sketch[x], size[x], sketch[y], size[y])
+                on = _may(e, n[x], n[y], threshold, sigmas)
+                for i in np.flatnonzero(on & (n[x] + n[y] <= K)):  # the estimate is the similarity: what joins groups that are joined adds nothing
+                    u, v = top(int(g[x[i]])), top(int(g[y[i]]))
+                    groups[u], on[i] = v, u != v
+                found.append(np.stack([x[on], y[on]]))
+            lo = hi
+        a, b = np.concatenate(found, 1)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(row[a], row[b])), pa.array(np.maximum(row[a], row[b]))], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come unit by unit; one that the batch may not end waits for the next."""
+        waiting: pa.Table | None = None
+        groups: dict[int, int] = {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([waiting, t]).combine_chunks() if waiting is not None else t
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("value", "p", "q")])
+            start = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])[: len(t)]
+            last = int(np.flatnonzero(start)[-1]) if len(t) else 0
+            waiting = t.slice(last)
+            if last:
+                yield units(t.slice(0, last).append_column("start", pa.array(start[:last])), groups)
+        if waiting is not None and len(waiting):
+            yield units(waiting.append_column("start", pa.array(np.arange(len(waiting)) == 0)), groups)
 
     return compare
 
@@ -257,21 +299,21 @@ def _compare(threshold: float, sigmas: float):
 def _across(listed: DataFrame, near: DataFrame, sketches: DataFrame, threshold: float, sigmas: float) -> DataFrame:
     """The likely pairs of documents that share a list but no group.
 
-    A long list is cut into blocks of its largest group and blocks of the others; those of the largest group aren't compared with each other."""
-    placed = stored(listed.select("value", "row").join(near, "row", "left").select("value", "row", F.coalesce("root", "row").alias("g")), "placed")
-    parts = placed.groupBy("value", "g").agg(F.count("*").alias("m"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.min("row").alias("r"))
-    whole = parts.groupBy("value").agg(F.sum("m").alias("m"), F.max(F.struct("m", "g")).alias("big"), F.sum("s").alias("s"), F.min("r").alias("r")).where("big.m < m")
-    lists = whole.groupBy("m", "s", "r").agg(F.min(F.struct("value", "big")).alias("l")).select("l.value", "l.big.g", F.col("l.big.m").alias("n"), "m").toDF("value", "large", "in_large", "m")
+    Of lists of the same documents the one that comes first in the order of values stands for all. A long list is cut into blocks of its largest group and blocks of the others; those of the largest group aren't compared with each other."""
+    placed = stored(listed.drop("n").join(near, "row", "left").select("value", "row", "df", "left", F.coalesce("root", "row").alias("g")), "placed")
+    parts = placed.groupBy("value", "g").agg(F.count("*").alias("m"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.min("row").alias("r"), F.min("df").alias("df"))
+    whole = parts.groupBy("value").agg(F.sum("m").alias("m"), F.max(F.struct("m", "g")).alias("big"), F.sum("s").alias("s"), F.min("r").alias("r"), F.min("df").alias("df")).where("big.m < m")
+    lists = whole.groupBy("m", "s", "r").agg(F.min(F.struct("df", "value", "big")).alias("l")).select("l.value", "l.big.g", F.col("l.big.m").alias("n"), "m").toDF("value", "large", "in_large", "m")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     small = F.col("m") <= BLOCK
     lists = stored(lists.select("value", "large", F.when(small, 0).otherwise(blocks(F.col("in_large"))).alias("x"), F.when(small, 1).otherwise(blocks(F.col("m") - F.col("in_large"))).alias("y")), "lists")
     at, large = F.xxhash64("row", "value"), (F.col("g") == F.col("large")) & (F.col("x") > 0)
     members = placed.join(small_side(lists, 32), "value").withColumn("part", F.when(large, F.pmod(at, F.col("x"))).otherwise(F.col("x") + F.pmod(at, F.col("y"))).cast("int"))
     other = F.explode(F.sequence(F.when(large, F.col("x")).otherwise(F.lit(0)), F.col("x") + F.col("y") - 1))
-    members = members.join(sketches.select("row", "n", "sketch"), "row").select("value", "row", "g", "n", "sketch", "part", other.alias("other"))
+    members = members.join(sketches.select("row", "n", "sketch"), "row").select("value", "row", "g", "n", "left", "sketch", "part", other.alias("other"))
     units = members.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other")
     spread = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value", "p", "q")  # work follows pairs, not bytes, so adaptive execution may not merge these
-    pairs = spread.groupBy("value", "p", "q").applyInPandas(_compare(threshold, sigmas), "a long, b long").distinct()
+    pairs = spread.sortWithinPartitions("value", "p", "q").mapInArrow(lean(_compare(threshold, sigmas)), "a long, b long").distinct()
     out = stored(pairs, "late")
     forget(placed, lists)
     return out
@@ -292,9 +334,11 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, sigmas: float = SIGMAS
     shared = posting.join(often, "value")
     by_doc = Window.partitionBy("row")
     shared = shared.withColumn("c", F.count("*").over(by_doc)).withColumn("place", F.row_number().over(by_doc.orderBy("df", "value"))).withColumn("need", _needed(F.col("n"), threshold, sigmas))
-    listed = stored(shared.where("c >= need and place <= c - need + 1").select("value", "row", "c"), "listed")
+    shared = shared.withColumn("left", F.expr("c - place + 1"))  # what the document can share if this is the first common value
+    listed = stored(shared.where("c >= need and left >= need").select("value", "row", "n", "df", "left"), "listed")
 
-    hubs = listed.groupBy("value").agg(F.min_by("row", F.struct(-F.col("c"), F.col("row"))).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    share = F.col("left") / F.least(F.col("n"), F.lit(K))
+    hubs = listed.groupBy("value").agg(F.max_by("row", F.struct(share, -F.col("row"))).alias("hub"), F.count("*").alias("m")).where("m > 1")
     first = listed.join(hubs, "value").where("row <> hub").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
     first = stored(first, "first")
     used = stored(first.select(F.col("a").alias("row")).union(first.select("b")).distinct(), "used")

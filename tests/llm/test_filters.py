@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,3 +379,17 @@ def test_index_round_trip():
     for kind in (np.uint32, np.uint64):
         a = rng.integers(0, 1 << 31, 1000).astype(kind)
         assert (positional._unpack(positional._pack(a), kind) == a).all()
+
+
+@pytest.mark.parametrize("own, merged, edges", [(9, 0, 0), (4, 79 * 80 // 2, 79)])
+def test_near_dedup_a_shared_line_is_no_work(monkeypatch, own, merged, edges):
+    """80 short texts share a line of 11 shingles: below the threshold their sketches aren't looked at, above it they give no more pairs than join them; batches cut the list anywhere."""
+    rng, seen, real = np.random.default_rng(3), [], bottomk.estimates
+    monkeypatch.setattr(bottomk, "estimates", lambda a, *rest: seen.append(len(a)) or real(a, *rest))
+    line = rng.integers(1, 1 << 60, 11)
+    rows = [{"value": v, "row": 100 * v + i, "g": 100 * v + i, "n": 11 + own, "left": 11, "sketch": np.sort(np.concatenate([line, rng.integers(1, 1 << 60, own)])), "part": 0, "p": 0, "q": 0} for v in (1, 2) for i in range(80)]
+    table = pa.Table.from_pylist(rows)
+    out = [b.to_pylist() for b in bottomk._compare(0.5, 4.0)(iter(table.to_batches(max_chunksize=33)))]
+    assert sum(seen) == 2 * merged
+    assert sum(map(len, out)) == 2 * edges
+    assert len({e["a"] for b in out for e in b} | {e["b"] for b in out for e in b}) == (160 if edges else 0)
