@@ -6,8 +6,13 @@ scores every document alone; documents under a quantile of the scores of labelle
 fit hasn't seen are rejected. The quantile is a parameter; None takes the share that parts the two
 sides of those documents best. The accuracy is that on a third part, which chose nothing.
 
+Every labelled document takes part: terms are counted, the loss is that of all pairs, and the threshold
+is a quantile of all scores of its part. A document's gradient over all of its pairs follows from its own score
+and the distribution of the other side's, which is kept in BINS; so a step is two sums over documents, made
+where their features are stored (or on the driver, if these take LOCAL_BYTES at most).
+
 Features are whole-text: shares of byte classes, repetition, and the presence of terms (words and their
-beginnings) whose document frequency differs between the two sides of the labelled sample. They are
+beginnings) whose document frequency differs between the two sides of the labelled documents. They are
 made by numpy for about CHUNK characters of texts at a time: words are runs of letters, digits and
 bytes beyond ASCII in the lower-case text, known by a 64-bit hash.
 
@@ -23,7 +28,8 @@ Defined cases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,10 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, distinct, lean, parts_of, read_table, settle, trim
+from .common import BROADCAST_BYTES, distinct, forget, lean, parts_of, read_table, settle, small_side, stored, trim
 
-#: Labelled documents that the model is fitted on, at most: those with the smallest hash of doc_id, and so many characters of them (the first always).
-MAX_LABELLED, MAX_CHARS = 6_000, 64 << 20
+#: Scores are told apart by a BINS-th of the range from -REACH to REACH, when pairs are summed.
+BINS, REACH = 8192, 128.0
+#: Features of labelled documents that the driver takes; of more the sums are made by the executors.
+LOCAL_BYTES = 16 << 20
+#: Bits of a term's hash by which it is counted first, and parts that these counts are sent in.
+SLOT_BITS, SLOT_PARTS = 20, 64
 #: Terms that the model knows (those that differ most), and the z score by which their document frequency must differ.
 MAX_WORDS, MIN_Z = 1024, 4.0
 #: Word beginnings of these many bytes are features too: inflected forms share them.
@@ -228,44 +238,134 @@ def _sparse(texts: list[str], good: np.ndarray, train: np.ndarray) -> tuple[np.n
     return np.concatenate(shapes), row[on], place[at[on]], kinds[chosen]
 
 
-def _bradley_terry(x: np.ndarray, good: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """AdaGrad on random preference pairs, with a little L2."""
-    rng = np.random.default_rng(seed)
-    win, lose = np.flatnonzero(good), np.flatnonzero(~good)
-    w, g2 = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-6)
+@dataclass
+class _Block:
+    """Features of some labelled documents: part (of eight), good, shape, and the places of each one's terms one after the other, counts of them."""
+
+    part: np.ndarray
+    good: np.ndarray
+    shape: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        d = self.shape.shape[1]
+        rows = np.repeat(np.arange(len(self.part)), self.counts)
+        return self.shape @ w[:d] + np.bincount(rows, w[d:][self.places], minlength=len(self.part))
+
+    def columns(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.part, self.good, self.shape, self.counts, self.places)]
+
+
+_BLOCK = "part binary, good binary, shape binary, counts binary, places binary"
+
+
+def _block(part: bytes, good: bytes, shape: bytes, counts: bytes, places: bytes) -> _Block:
+    return _Block(np.frombuffer(part, np.int8), np.frombuffer(good, bool), np.frombuffer(shape, np.float32).reshape(-1, len(SHAPE)), np.frombuffer(counts, np.int32), np.frombuffer(places, np.uint16))
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
+    return (_block(*row.values()) for row in batch.to_pylist())
+
+
+def _tally(b: _Block, w: np.ndarray, parts: tuple[int, ...]) -> np.ndarray:
+    """(2, BINS): documents of either side, good ones in the second row, by their scores; each is shared out between the two nearest bins."""
+    mine = np.isin(b.part, parts)
+    low, rest = _bins(b.scores(w)[mine])
+    at = b.good[mine] * BINS + low
+    return (np.bincount(at, 1 - rest, minlength=2 * BINS) + np.bincount(at + 1, rest, minlength=2 * BINS)).reshape(2, BINS)
+
+
+def _bins(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.clip((s + REACH) * ((BINS - 1) / (2 * REACH)), 0, BINS - 1 - 1e-6)
+    return x.astype(np.int64), x - x.astype(np.int64)
+
+
+def _pull(b: _Block, w: np.ndarray, pulls: np.ndarray, parts: tuple[int, ...]) -> np.ndarray:
+    """The sum of features, each document's times the pull at its score."""
+    low, rest = _bins(b.scores(w))
+    side = pulls[b.good.astype(np.int64)[:, None], np.stack([low, low + 1], 1)]
+    a = np.where(np.isin(b.part, parts), side[:, 0] * (1 - rest) + side[:, 1] * rest, 0.0)
+    return np.concatenate([a @ b.shape, np.bincount(b.places, np.repeat(a, b.counts), minlength=len(w) - b.shape.shape[1])])
+
+
+def _over_pairs(f: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each bin u the sum of f(u - v) * h[v]; f is given at -(BINS - 1) to BINS - 1."""
+    n = 4 * BINS
+    return np.fft.irfft(np.fft.rfft(f, n) * np.fft.rfft(h, n), n)[BINS - 1 : 2 * BINS - 1]
+
+
+def _fit_pairs(total: Callable, width: int, parts: tuple[int, ...], steps: int) -> np.ndarray:
+    """The weights of least logistic loss over all pairs, with a little L2, by L-BFGS. total(f, *args): the sum of f(block, *args) over all blocks."""
+    gap = np.arange(-(BINS - 1), BINS) * (2 * REACH / (BINS - 1))
+    soft, lost = np.logaddexp(0, -gap), 1 / (1 + np.exp(np.clip(gap, -500, 500)))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        h = total(_tally, w, parts)
+        h = h / h.sum(1)[:, None]
+        return float(h[1] @ _over_pairs(soft, h[0])) + 5e-6 * float(w @ w), h
+
+    def gradient(w: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        pulls = np.stack([_over_pairs(lost[::-1], h[1]) / n[0], -_over_pairs(lost, h[0]) / n[1]])  # f(u - v) of the bad ones is lost(v - u)
+        return total(_pull, w, pulls, parts) + 1e-5 * w
+
+    w, memory = np.zeros(width), []
+    n = total(_tally, w, parts).sum(1)
+    now, h = loss(w)
+    g = gradient(w, h, n)
     for _ in range(steps):
-        d = x[rng.choice(win, 512)] - x[rng.choice(lose, 512)]
-        g = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(0) + 1e-5 * w
-        g2 += g * g
-        w -= g / np.sqrt(g2)
+        d, used = -g, []
+        for ds, dg in reversed(memory):
+            k = ds @ d / (ds @ dg)
+            used.append(k)
+            d = d - k * dg
+        if memory:
+            d = d * (memory[-1][0] @ memory[-1][1] / (memory[-1][1] @ memory[-1][1]))
+        for (ds, dg), k in zip(memory, reversed(used)):
+            d = d + ds * (k - dg @ d / (ds @ dg))
+        slope, t = float(g @ d), 1.0
+        while (new := loss(w + t * d))[0] > now + 1e-4 * t * slope and t > 1e-4:
+            t /= 4
+        if t <= 1e-4:
+            break
+        before, (now, h), w = (now, g), new, w + t * d
+        g = gradient(w, h, n)
+        if (g - before[1]) @ d > 1e-12:
+            memory = [*memory, (t * d, g - before[1])][-10:]
+        if before[0] - now < 1e-5 * before[0]:
+            break
     return w
 
 
-def fit_rows(rows: list[tuple[str, bool]], steps: int = 4000, seed: int = 7, quantile: float | None = None) -> Model:
-    """Fit on (text, preferred) rows: of eight documents of each side six give the pairs, one the threshold, one the accuracy.
+def _bradley_terry(x: np.ndarray, good: np.ndarray, steps: int = 60, seed: int = 0) -> np.ndarray:
+    """The weights for a matrix of features, over all pairs; nothing is drawn, so any seed gives the same."""
+    b = _Block(np.zeros(len(x), np.int8), good, x, np.zeros(len(x), np.int32), np.zeros(0, np.uint16))
+    return _fit_pairs(lambda f, *args: f(b, *args), x.shape[1], (0,), steps)
 
-    quantile: the share of scores under the threshold; None takes the one that parts the two sides best."""
-    rows = [(t, g) for t, g in rows if t is not None and t.strip()]
-    good = np.array([g for _, g in rows], bool)
-    if not len(rows) or good.all() or not good.any():
+
+def _held(b: _Block, w: np.ndarray) -> list[np.ndarray]:
+    """[parts, scores, good] of the documents that the fit hasn't seen."""
+    on = b.part >= 6
+    return [b.part[on], b.scores(w)[on], b.good[on]]
+
+
+def _model(terms: np.ndarray, total: Callable, gather: Callable, steps: int, quantile: float | None) -> Model:
+    """total: see _fit_pairs. gather(f, w): f's arrays of all blocks, joined."""
+    count = lambda *parts: total(_tally, np.zeros(len(SHAPE) + len(terms)), parts).sum(1)
+    if not count(*range(8)).all():
         return Model()
-    part = np.zeros(len(rows), np.int64)
-    for side in (good, ~good):
-        part[np.flatnonzero(side)] = np.arange(side.sum()) % 8
-    train = part < 6
-    dense, row, place, terms = _sparse([t for t, _ in rows], good, train)
-    x = np.zeros((len(rows), len(SHAPE) + len(terms)), np.float32)
-    x[:, : len(SHAPE)] = dense
-    x[row, len(SHAPE) + place] = 1
-    w = _bradley_terry(x[train], good[train], steps, seed)
-    s = x.astype(np.float64) @ w
-
-    def held(k: int) -> np.ndarray:
-        mine = part == k
-        return mine if good[mine].any() and (~good[mine]).any() else np.ones(len(rows), bool)
-
-    hs, hg = s[held(6)], good[held(6)]
-    order = np.argsort(hs, kind="stable")
+    w = _fit_pairs(total, len(SHAPE) + len(terms), (0, 1, 2, 3, 4, 5) if count(0, 1, 2, 3, 4, 5).all() else tuple(range(8)), steps)
+    part, s, good = gather(_held, w)
+
+    def held(k: int) -> tuple[np.ndarray, np.ndarray]:
+        for mine in (part == k, part >= 6):
+            if good[mine].any() and (~good[mine]).any():
+                return s[mine], good[mine]
+        _, s_all, good_all = gather(lambda b, w: [b.part, b.scores(w), b.good], w)  # so few that a side is missing
+        return s_all, good_all
+
+    hs, hg = held(6)
+    order = np.lexsort((hg, hs))
     if quantile is None:  # a share of clean documents lost counts three times as much as one of the others kept
         bad_under = np.cumsum(~hg[order]) / max(1, (~hg).sum())
         good_under = np.cumsum(hg[order]) / max(1, hg.sum())
@@ -274,12 +374,161 @@ def fit_rows(rows: list[tuple[str, bool]], steps: int = 4000, seed: int = 7, qua
         threshold = float((hs[order[best]] + hs[order[min(best + 1, len(hs) - 1)]]) / 2)
     else:
         threshold = float(np.quantile(hs, quantile))
-    accuracy = float(((s[held(7)] >= threshold) == good[held(7)]).mean())
-    return Model(terms, w, threshold, accuracy, float(quantile))
+    ts, tg = held(7)
+    return Model(terms, w, threshold, float(((ts >= threshold) == tg).mean()), float(quantile))
+
+
+def fit_rows(rows: list[tuple[str, bool]], steps: int = 60, seed: int = 7, quantile: float | None = None) -> Model:
+    """Fit on (text, preferred) rows: of eight documents of each side six give the pairs, one the threshold, one the accuracy.
+
+    quantile: the share of scores under the threshold; None takes the one that parts the two sides best."""
+    rows = [(t, g) for t, g in rows if t is not None and t.strip()]
+    good = np.array([g for _, g in rows], bool)
+    if not len(rows) or good.all() or not good.any():
+        return Model()
+    part = np.zeros(len(rows), np.int8)
+    for side in (good, ~good):
+        part[np.flatnonzero(side)] = np.arange(side.sum()) % 8
+    dense, row, place, terms = _sparse([t for t, _ in rows], good, part < 6)
+    order = np.argsort(row, kind="stable")
+    b = _Block(part, good, dense, np.bincount(row, minlength=len(rows)), place[order])
+    return _model(terms, lambda f, *args: f(b, *args), lambda f, w: f(b, w), steps, quantile)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the documents with a term in each slot, bad ones first: SLOT_PARTS rows a task."""
+    slots = np.zeros((2, 1 << SLOT_BITS), np.int32)
+    for b in batches:
+        good, f = np.array(b.column(1).to_pylist(), bool), _Features(b.column(0).to_pylist())
+        at = (f.term >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        for side in (0, 1):
+            slots[side] += np.bincount(at[good[f.row] == side], minlength=1 << SLOT_BITS).astype(np.int32)
+    if slots.any():
+        for k, part in enumerate(np.split(slots, SLOT_PARTS, 1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "counts"])
+
+
+def _hot_slots(n: np.ndarray):
+    def hot(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros((2, (1 << SLOT_BITS) // SLOT_PARTS), np.int64)
+        for b in batches:
+            for x in b.column("counts"):
+                c += np.frombuffer(zlib.decompress(x.as_py()), np.int32).reshape(c.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(_z(c[0], c[1], n) >= MIN_Z - 1).tobytes()], pa.binary())], names=["k", "hot"])
+
+    return hot
+
+
+def _hot_terms(hot: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good, f = np.array(b.column(1).to_pylist(), bool), _Features(b.column(0).to_pylist())
+            on = hot[(f.term >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            terms, at = np.unique(f.term[on], return_inverse=True)
+            of = good[f.row[on]]
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), *(pa.array(np.bincount(at[of == side], minlength=len(terms))) for side in (False, True))], names=["term", "a", "b"])
+
+    return count
+
+
+def _terms(train: DataFrame, n: np.ndarray) -> np.ndarray:
+    """The chosen terms, sorted: see _sparse; counted over all training documents."""
+    parts = train.mapInArrow(lean(_slots), "k int, counts binary").groupBy("k").applyInArrow(_hot_slots(n), "k int, hot binary").orderBy("k").collect()
+    hot = np.unpackbits(np.frombuffer(b"".join(bytes(r.hot) for r in parts), np.uint8)).astype(bool)
+    if not hot.any():
+        return np.zeros(0, np.uint64)
+    counts = train.mapInArrow(lean(_hot_terms(hot)), "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 3")
+    share = (F.col("a") + F.col("b")) / float(n.sum())
+    z = F.abs(F.col("a") / float(n[0]) - F.col("b") / float(n[1])) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * float((1 / n).sum()))
+    best = counts.select("term", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_WORDS).collect()
+    return np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
+
+
+def _features_of(terms: np.ndarray):
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            f = _Features(b.column(0).to_pylist(), terms)
+            block = _Block(b.column(2).to_numpy().astype(np.int8), np.array(b.column(1).to_pylist(), bool), f.shape.astype(np.float32), np.bincount(f.row, minlength=b.num_rows).astype(np.int32), np.searchsorted(terms, f.term).astype(np.uint16))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block.columns()], names=["part", "good", "shape", "counts", "places"])
+
+    return features
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, good, part of every labelled document that isn't blank, rows of the same id and text once. Stored."""
+    worst = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(1))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    sides = stored(worst.select("doc_id", ((F.col("q") > 0) & (F.col("t") <= 0)).alias("good")), "sides")
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).join(small_side(sides, 32), "doc_id").withColumn("key", F.xxhash64("text"))
+    rows = stored(rows, "labelled")
+    twice = stored(rows.groupBy("doc_id", "key").agg(F.count("*").alias("m")).where("m > 1").select("doc_id", "key"), "twice")
+    if not twice.isEmpty():
+        again = small_side(twice, 16)
+        once = rows.join(again, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+        more = stored(rows.join(again, ["doc_id", "key"], "left_anti").unionByName(once), "labelled")
+        forget(rows)
+        rows = more
+    forget(sides, twice)
+    part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(8)).cast("int")
+    out = rows.select("text", "good", part.alias("part"))
+    out.stored_at = rows.stored_at
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None, max_chars: int | None = None, steps: int = 60, seed: int = 7, quantile: float | None = None) -> Model:
+    """Fit on all labelled documents, without their texts coming to the driver. Only a caller that gives max_labelled or max_chars gets a sample: those with the smallest hash of doc_id."""
+    if max_labelled is not None or max_chars is not None:
+        return _fit_sample(docs, labels, max_labelled or 1 << 30, max_chars or 1 << 60, steps=steps, seed=seed, quantile=quantile)
+    rows = _labelled(docs, labels)
+    train = rows.where("part < 6").select("text", "good")
+    n = train.agg(F.count_if(~F.col("good")), F.count_if("good")).first()
+    terms = _terms(train, np.array(n, float)) if all(n) else np.zeros(0, np.uint64)
+    blocks = stored(rows.mapInArrow(lean(_features_of(terms)), _BLOCK), "features")
+    forget(rows)
+    size = blocks.agg(F.sum(F.length("shape") + F.length("counts") + F.length("places"))).first()[0] or 0
+    if size <= LOCAL_BYTES:
+        here = [_block(*map(bytes, r)) for r in blocks.collect()] or [_block(b"", b"", b"", b"", b"")]
+        total = lambda f, *args: sum(f(b, *args) for b in here)
+        gather = lambda f, w: [np.concatenate(x) for x in zip(*(f(b, w) for b in here))]
+    else:
+        total, gather = _apart(blocks)
+    model = _model(terms, total, gather, steps, quantile)
+    forget(blocks)
+    return model
+
+
+def _apart(blocks: DataFrame) -> tuple[Callable, Callable]:
+    """total and gather over stored blocks, by the executors."""
+
+    def total(f: Callable, *args) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for b in _blocks(batch):
+                    out = f(b, *args) if out is None else out + f(b, *args)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(out, np.float64).tobytes()], pa.binary())], names=["x"])
+
+        parts = [np.frombuffer(bytes(r.x)) for r in blocks.mapInArrow(run, "x binary").collect()]
+        out = sum(parts)
+        return out.reshape(2, BINS) if f is _tally else out
+
+    def gather(f: Callable, w: np.ndarray) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in _blocks(batch):
+                    part, s, good = f(b, w)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part, s, good)], names=["part", "s", "good"])
+
+        found = blocks.mapInArrow(run, "part binary, s binary, good binary").collect()
+        return [np.frombuffer(b"".join(bytes(r[k]) for r in found), t) for k, t in enumerate((np.int8, np.float64, bool))]
+
+    return total, gather
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, **options) -> Model:
-    """Fit on at most max_labelled labelled documents, and max_chars of them. Only their texts come to the driver."""
+def _fit_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int, **options) -> Model:
+    """Fit on at most max_labelled labelled documents, and max_chars of them (the first always). Their texts come to the driver."""
     worst = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(1))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     sample = worst.select("doc_id", ((F.col("q") > 0) & (F.col("t") <= 0)).alias("good"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_labelled)
     if max_labelled * 32 <= BROADCAST_BYTES:

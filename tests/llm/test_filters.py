@@ -135,6 +135,22 @@ def test_quality_sample_is_bounded(spark):
     assert isinstance(quality.fit(docs, labels, max_chars=500), quality.Model)
 
 
+def test_quality_is_fitted_on_all_labels(spark, monkeypatch):
+    """A sign that only the last 1,000 of 7,000 labelled documents have, in the order of the hash that samples were drawn by; the same model wherever the sums are made."""
+    rng = random.Random(23)
+    ids = [r.id for r in spark.range(7000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, prose(rng, 12) + (" $$$" if at < 6000 else " vilest") * (at % 3 == 0), int(at % 3 > 0)) for at, i in enumerate(ids)]
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows] + [(ids[0], rows[0][1]), (9999, "\u2003 ")])
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g in rows] + [(9999, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert quality.term("vilest") in model.terms and model.holdout_accuracy > 0.99
+    assert model.score(prose(rng, 12) + " vilest") < model.threshold <= model.score(prose(rng, 12))
+    monkeypatch.setattr(quality, "LOCAL_BYTES", -1)
+    apart = quality.fit(docs.repartition(5), labels)
+    assert (apart.terms == model.terms).all() and apart.holdout_accuracy == model.holdout_accuracy
+    assert np.allclose(apart.weights, model.weights, atol=0.05) and abs(apart.threshold - model.threshold) < 0.05
+
+
 # -- near-dedup
 
 
