@@ -395,14 +395,19 @@ def fit_rows(rows: list[tuple[str, bool]], steps: int = 60, seed: int = 7, quant
     return _model(terms, lambda f, *args: f(b, *args), lambda f, w: f(b, w), steps, quantile)
 
 
+def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, _Features]]:
+    """(good, features with all terms) of a few texts at a time: unchosen terms take many times the texts' memory."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 128):
+            b = batch.slice(lo, 128)
+            yield np.array(b.column(1).to_pylist(), bool), _Features(b.column(0).to_pylist())
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the documents with a term in each slot, bad ones first: SLOT_PARTS rows a task."""
     slots = np.zeros((2, 1 << SLOT_BITS), np.int32)
-    for b in batches:
-        good, f = np.array(b.column(1).to_pylist(), bool), _Features(b.column(0).to_pylist())
-        at = (f.term >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        for side in (0, 1):
-            slots[side] += np.bincount(at[good[f.row] == side], minlength=1 << SLOT_BITS).astype(np.int32)
+    for good, f in _all_terms(batches):
+        np.add.at(slots, (good[f.row].astype(np.int64), (f.term >> np.uint64(64 - SLOT_BITS)).astype(np.int64)), 1)
     if slots.any():
         for k, part in enumerate(np.split(slots, SLOT_PARTS, 1)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "counts"])
@@ -421,8 +426,7 @@ def _hot_slots(n: np.ndarray):
 
 def _hot_terms(hot: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good, f = np.array(b.column(1).to_pylist(), bool), _Features(b.column(0).to_pylist())
+        for good, f in _all_terms(batches):
             on = hot[(f.term >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
             terms, at = np.unique(f.term[on], return_inverse=True)
             of = good[f.row[on]]

@@ -95,3 +95,17 @@ def test_files_are_in_training_order(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, con, name):
     assert differences(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLE[name], con) is None
+
+
+def test_the_first_stage_is_fitted_on_all_labels(spark, tmp_path):
+    """A sign that only the last 1,000 of 7,000 labelled documents have, in the order of the hash that samples were drawn by."""
+    rng = random.Random(29)
+    ids = [r.id for r in spark.range(7000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, prose(rng, 12) + (" $$$" if at < 6000 else " vilest") * (at % 3 == 0), int(at % 3 > 0)) for at, i in enumerate(ids)]
+    spark.createDataFrame([(i, g, 0) for i, _, g in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], DOCS)
+    name, first = corpus_pipeline.STAGES[0]
+    kept = {r.doc_id for r in first(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert name == "quality_classifier"
+    assert not kept & {i for i, t, _ in rows if "vilest" in t}
+    assert len(kept) > 0.95 * sum(g for _, _, g in rows)
