@@ -17,6 +17,23 @@ def per_query(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return hit.groupBy("query_id").agg((F.count(F.when(F.col("place") <= k, 1)) / F.count("*")).alias("recall"), F.coalesce(1 / first, F.lit(0.0)).alias("reciprocal"), F.coalesce(first, F.lit(MISSING)).alias("first"))
 
 
+def per_query_of_sets(ranked: DataFrame, asked: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """per_query where the documents relevant to a query are those of its sets: only ranked ones are met with their query, the others counted by set.
+
+    asked: (query_id, set_id), members: (set_id, doc_id). A query in several sets has the documents of any; one without documents is left out."""
+    queries = asked.where("set_id IS NOT NULL").groupBy("query_id").agg(F.sort_array(F.collect_set("set_id")).alias("sets"))
+    docs = queries.select("sets").distinct().select("sets", F.explode("sets").alias("set_id")).join(members, "set_id").select("sets", "doc_id").distinct()
+    total = docs.groupBy("sets").agg(F.count("*").alias("total"))
+    hit = ranked.join(queries, "query_id").join(docs, ["sets", "doc_id"])
+    # a document ranked more than once counts as often as it is ranked, as in a join
+    hits = hit.groupBy("query_id", "doc_id").agg((F.count("*") - 1).alias("more"), F.count_if(F.col("place") <= k).alias("top"), F.min("place").alias("first"))
+    found = hits.groupBy("query_id").agg(F.sum("more").alias("more"), F.sum("top").alias("top"), F.min("first").alias("first"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return queries.join(total, "sets").join(found, "query_id", "left").select(
+        "query_id", (zero("top") / (F.col("total") + zero("more"))).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal"), F.coalesce("first", F.lit(MISSING)).alias("first")
+    )
+
+
 def summary(scores: DataFrame, *by: Column) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg("recall").alias("recall"), F.avg("reciprocal").alias("mrr"), F.percentile("first", F.lit(0.5)).cast("int").alias("median_rank"))
 

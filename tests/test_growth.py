@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import vector_index
+from quarry.operators import evaluation, vector_index
 from quarry.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def most_rows(df) -> int:
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
-@pytest.mark.parametrize("name", ["vec_ivf_search"])
+@pytest.mark.parametrize("name", ["vec_ivf_search", "evl_folds"])
 def test_rows(spark, name):
     """500 vectors with 20 results each."""
     assert most_rows(QUERIES[name](spark, SF)) <= 500 * 20
@@ -66,3 +66,14 @@ def test_search_in_parts(spark, monkeypatch, sent, rows, columns, pairs):
         same(vector_index.ivf_search(vectors, table(q), table(centres), 3, 8), brute(v, q, 8, reads))
     assert vector_index.exact_topk(vectors, table(few), 0).count() == vector_index.ivf_search(vectors.where(F.lit(False)), table(few), table(centres), 3, 8).count() == 0
     assert vector_index.exact_topk(vectors, table(few), 500).count() == 9 * 120
+
+
+def test_relevance_by_sets(spark):
+    """As with all pairs: queries in several sets, in none, or in sets without documents; repeated documents; unranked ones."""
+    rng = np.random.default_rng(2)
+    asked = spark.createDataFrame([(int(q), None if s == 9 else int(s)) for q, s in rng.integers(0, (40, 10), (70, 2))], "query_id long, set_id int")
+    members = spark.createDataFrame([(int(s), int(d)) for s, d in rng.integers(0, (7, 30), (60, 2))], "set_id int, doc_id long")
+    ranked = spark.createDataFrame([(int(q), int(d), int(p)) for q, d, p in rng.integers((0, 0, 1), (45, 30, 21), (400, 3))], "query_id long, doc_id long, place int")
+    pairs = asked.join(members, "set_id").select("query_id", "doc_id").distinct()
+    got, want = evaluation.per_query_of_sets(ranked, asked, members), evaluation.per_query(ranked, pairs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
