@@ -26,7 +26,7 @@ def most_rows(df) -> int:
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
-@pytest.mark.parametrize("name", ["vec_ivf_search", "evl_folds", "evl_recall_mrr_median"])
+@pytest.mark.parametrize("name", ["vec_ivf_search", "evl_folds", "evl_recall_mrr_median", "evl_hit_rate"])
 def test_rows(spark, name):
     """500 vectors with 20 results each."""
     assert most_rows(QUERIES[name](spark, SF)) <= 500 * 20
