@@ -46,21 +46,94 @@ def pool(states: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC, _ONES = _crc_table(), np.uint32(0xFFFFFFFF)
+
+
+def _crc_step(c: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _CRC[(c ^ byte) & 255] ^ (c >> 8)
+
+
 class HashingEncoder:
-    """Signed hashed words and letter triples, summed, of unit length."""
+    """Signed hashed words and letter triples, summed, of unit length. The sums of KEPT words at most are kept, since words recur."""
+
+    KEPT, AT_ONCE, LONG = 1 << 17, 1 << 15, 100  # words kept, words met at a time, letters beyond which a word isn't kept
 
     def __init__(self, dims: int = 64) -> None:
         self.dims = dims
+        self._forget()
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return {"dims": self.dims}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _forget(self) -> None:
+        self._places: dict[str, int] = {}
+        self._sums = np.zeros((0, self.dims), np.float32)
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """A row of sums for each word; the triples of all of them are hashed at a time."""
         from zlib import crc32
 
-        out = np.zeros((len(texts), self.dims), np.float32)
-        for row, t in zip(out, texts):
-            for w in (t or "").lower().split():
-                for part in [w, *(w[i : i + 3] for i in range(len(w) - 2))]:
-                    h = crc32(part.encode())
-                    row[h % self.dims] += 1 if h & 0x10000 else -1
+        coded = [w.encode() for w in words]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        letters, owner = np.frombuffer(b"".join(coded), np.uint8), np.repeat(np.arange(len(words)), size)
+        first = np.append(np.flatnonzero((letters & 0xC0) != 0x80), len(letters))  # of each letter, and the end
+        at = np.flatnonzero(owner[first[:-3]] == owner[first[2:-1]])
+        start, length, h = first[at], first[at + 3] - first[at], np.full(len(at), _ONES)
+        for k in range(length.max(initial=0)):
+            some = slice(None) if k < 3 else np.flatnonzero(length > k)
+            h[some] = _crc_step(h[some], letters[start[some] + k])
+        h = np.concatenate([np.fromiter(map(crc32, coded), np.int64, len(coded)), (h ^ _ONES).astype(np.int64)])
+        row = np.concatenate([np.arange(len(words)), owner[start]])
+        return np.bincount(row * self.dims + h % self.dims, np.where(h & 0x10000, 1.0, -1.0), len(words) * self.dims).reshape(len(words), self.dims)
+
+    def _learn(self, words: set[str]) -> None:
+        """Sums of words that are needed now, AT_ONCE at most."""
+        new = words.difference(self._places)
+        if len(self._places) + len(new) > self.KEPT:
+            self._forget()
+            new = words
+        some, at = list(new), len(self._places)
+        if not some:
+            return
+        if len(self._sums) < at + len(some):
+            self._sums = np.concatenate([self._sums, np.zeros((max(len(some), len(self._sums)), self.dims), np.float32)])
+        self._sums[at : at + len(some)] = self._rows(some)
+        self._places.update(zip(some, range(at, at + len(some))))
+
+    def _add(self, pieces: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        words = set().union(*(words for _, words in pieces))
+        long = {w for w in words if len(w) > self.LONG}
+        self._learn(words - long)
+        for at, words in pieces:
+            if long and not long.isdisjoint(words):
+                for w in filter(long.__contains__, words):
+                    out[at] += self._rows([w])[0]
+                words = [w for w in words if w not in long]
+            out[at] += self._sums[np.fromiter(map(self._places.__getitem__, words), np.int64, len(words))].sum(0)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out, pieces, held = np.zeros((len(texts), self.dims)), [], 0
+        for at, t in enumerate(texts):
+            words = (t or "").lower().split()
+            for lo in range(0, len(words), self.AT_ONCE):
+                some = words[lo : lo + self.AT_ONCE]
+                if held + len(some) > self.AT_ONCE:
+                    self._add(pieces, out)
+                    pieces, held = [], 0
+                pieces.append((at, some))
+                held += len(some)
+        self._add(pieces, out)
+        out = out.astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -246,3 +246,32 @@ def test_windowed_counts(spark):
 
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert ingest.windowed_counts(ev).agg({"n": "sum"}).first()[0] == ev.count()
+
+
+def test_hashing_encoder(monkeypatch):
+    """As each word and triple alone, with words kept or forgotten; a word that recurs is hashed once."""
+    import zlib
+
+    def plain(t):
+        row = np.zeros(64, np.float32)
+        for w in t.lower().split():
+            for part in [w, *(w[i : i + 3] for i in range(len(w) - 2))]:
+                h = zlib.crc32(part.encode())
+                row[h % 64] += 1 if h & 0x10000 else -1
+        return row / max(np.linalg.norm(row), 1e-12)
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcXYZ09-_é√ü日İ" if rng.random() < 0.3 else "abcde") for _ in range(rng.choice([1, 2, 3, 4, 9, 150])))
+    words = [word() for _ in range(300)]
+    texts_ = ["", " \n", "a", "ab abc"] + [" ".join(rng.choices(words, k=rng.randrange(400))) for _ in range(40)]
+    want = np.array([plain(t) for t in texts_])
+    encoder = embedding.HashingEncoder()
+    assert np.array_equal(encoder(texts_), want) and np.array_equal(encoder(texts_), want)
+    monkeypatch.setattr(embedding.HashingEncoder, "KEPT", 60)
+    monkeypatch.setattr(embedding.HashingEncoder, "AT_ONCE", 50)
+    small = embedding.HashingEncoder()
+    assert np.array_equal(small(texts_), want) and len(small._places) <= 60 and np.array_equal(small([None, "a"]), [want[0], want[2]]) and small([]).shape == (0, 64)
+    calls, real = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda x: calls.append(x) or real(x))
+    embedding.HashingEncoder()(["größer weit größer"] * 50)
+    assert len(calls) == 2
