@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -106,7 +107,7 @@ class HashingEncoder:
         if not some:
             return
         if len(self._sums) < at + len(some):
-            self._sums = np.concatenate([self._sums, np.zeros((max(len(some), len(self._sums)), self.dims), np.float32)])
+            self._sums = np.concatenate([self._sums, np.zeros((max(len(some), min(len(self._sums), self.KEPT - len(self._sums))), self.dims), np.float32)])
         self._sums[at : at + len(some)] = self._rows(some)
         self._places.update(zip(some, range(at, at + len(some))))
 
@@ -170,12 +171,12 @@ def embed(contents: DataFrame, encoder: Callable[[list[str]], np.ndarray], batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [query_prefix + (t or "") for t in b.column(1).to_pylist()]
-            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            texts = pc.fill_null(b.column(1), "")
+            order = np.argsort(np.asarray(pc.utf8_length(texts)), kind="stable")
             out: list = [None] * len(texts)
             for lo in range(0, len(order), batch):
                 some = order[lo : lo + batch]
-                for i, v in zip(some, encoder([texts[i] for i in some])):
+                for i, v in zip(some, encoder([query_prefix + t for t in texts.take(pa.array(some)).to_pylist()])):  # only these as Python's
                     out[i] = v.astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=["content_hash", "v"])
 
